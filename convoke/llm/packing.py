@@ -184,8 +184,10 @@ def pack(documents: DataFrame, sequence: int = SEQUENCE, end: int = END, vocabul
     Every document ends with the id ``end``, so a null or empty text is a piece of one token. Rows that repeat a
     doc_id are separate documents. Other columns pass through unless named as one of the new ones, which then replaces
     it; an empty table gives an empty one."""
-    whole = written(pieces(documents, sequence, end, vocabulary), "pieces")
-    full = whole.where(F.col("length") == sequence).withColumns({"sequence_id": F.xxhash64("doc", "rid", "piece"), "offset": F.lit(0).cast("long")})
+    # uid: tells the pieces of repeated rows apart; written down, so that all uses of it agree.
+    whole = written(pieces(documents, sequence, end, vocabulary).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    # The top bit is set in the ids of full pieces and free in those of lots.
+    full = whole.where(F.col("length") == sequence).withColumns({"sequence_id": F.col("uid").bitwiseOR(F.lit(-(2**63))), "offset": F.lit(0).cast("long")})
     rest = whole.where(F.col("length") < sequence)
     schema = "doc long, rid int, piece int, length long, uid long, lot long, number long, offset long, fill long"
 
@@ -194,8 +196,6 @@ def pack(documents: DataFrame, sequence: int = SEQUENCE, end: int = END, vocabul
         df = df.select("doc", "rid", "piece", "length", "uid", F.pmod(F.xxhash64("uid", F.lit(seed)), F.lit(lots)).alias("lot"))
         return written(df.groupBy("lot").applyInPandas(_pack(sequence), schema), "packed")
 
-    # uid: tells equal rows apart, kept in the table so that both uses of it agree.
-    rest = written(rest.withColumn("uid", F.monotonically_increasing_id()), "loose")
     n = rest.count()
     one = dealt(rest, 1, n)
     if n > lot:
@@ -204,10 +204,8 @@ def pack(documents: DataFrame, sequence: int = SEQUENCE, end: int = END, vocabul
         done = one.where(F.col("fill") == sequence).withColumn("round", F.lit(1)).unionByName(two.withColumn("round", F.lit(2)))
     else:
         done = one.withColumn("round", F.lit(1))
-    # The top bit is free: ids of full pieces are hashes with it set, those of lots are numbers without.
-    full = full.withColumn("sequence_id", F.col("sequence_id").bitwiseOR(F.lit(-(2**63))))
     number = F.shiftleft(F.col("round").cast("long"), 61).bitwiseOR(F.shiftleft("lot", 32)).bitwiseOR(F.col("number"))
-    placed = rest.join(done.select("uid", number.alias("sequence_id"), "offset"), "uid").drop("uid")
+    placed = rest.join(done.select("uid", number.alias("sequence_id"), "offset"), "uid")
     every = full.unionByName(placed.select(full.columns))
     new = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     kept = [F.col(f"others.`{c}`") for c in documents.columns if c != "text" and c.lower() not in new]
