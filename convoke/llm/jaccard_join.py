@@ -309,7 +309,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         ids = sorted(held, key=lambda i: (len(held[i]), i))
-        roots = linked([np.frombuffer(held[i], np.int64).tolist() for i in ids])
+        roots = linked([_unpacked(held[i]) for i in ids])
         return pa.RecordBatch.from_arrays([pa.array([last[0]] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array([ids[r] for r in roots], pa.int64())], names=["block", "a", "b"])
 
     for batch in batches:
@@ -325,8 +325,29 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """48 bits of each shingle's hash, for each pair of parts that the set's part is in."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([s.tobytes() for s in shingles(batch)], pa.binary())], names=["sid", "tokens"])
+        keys = zip(*(batch.column(k).to_pylist() for k in ("sid", "block", "parts", "part")), strict=True)
+        rows, size = [], 0
+        for (sid, block, parts, part), s in zip(keys, shingles(batch), strict=True):
+            data = (s >> U(32)).astype(np.uint32).tobytes() + (s >> U(16)).astype(np.uint16).tobytes()
+            rows += [(sid, block, min(part, o), max(part, o), data) for o in range(int(parts))]
+            size += len(data) * int(parts)
+            if size >= 1 << 22:
+                yield _dealt(rows)
+                rows, size = [], 0
+        if rows:
+            yield _dealt(rows)
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    names, kinds = ["sid", "block", "i", "j", "tokens"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _unpacked(data: bytes) -> list[int]:
+    n = len(data) // 6
+    return (np.frombuffer(data, np.uint32, n).astype(np.int64) << 16 | np.frombuffer(data, np.uint16, n, 4 * n)).tolist()
 
 
 def linked_sets(docs: DataFrame, described: DataFrame, known: int = KNOWN, most: int = MOST) -> DataFrame:
@@ -342,13 +363,12 @@ def linked_sets(docs: DataFrame, described: DataFrame, known: int = KNOWN, most:
     parts = member.groupBy("block").agg(F.ceil(2 * F.sum("n") / F.lit(most)).alias("parts"))
     # A block within bounds is one part; a larger one is cut, and every two of its parts meet in a task.
     parts = parts.withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
-    tokens = docs.join(member, ["doc", "rid"]).select("sid", "text").mapInArrow(_tokens, "sid long, tokens binary").dropDuplicates(["sid"])
-    part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
-    dealt = member.select("sid", "block").join(parts, "block").select("sid", "block", "parts", part.alias("p"), other.alias("o"))
-    dealt = dealt.select("sid", "block", F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("parts") > 1).alias("cut"))
-    whole = tokens.join(dealt, "sid").repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    found = written(whole.select("block", "i", "j", "sid", "tokens").mapInArrow(_searched, "block long, a long, b long"), "links")
+    part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part")
+    dealt = member.join(parts, "block").select("doc", "rid", "sid", "block", "parts", part)
+    sets = docs.join(dealt, ["doc", "rid"]).select("sid", "block", "parts", "part", "text")
+    sets = sets.mapInArrow(_tokens, "sid long, block long, i int, j int, tokens binary")
+    whole = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
+    found = written(whole.mapInArrow(_searched, "block long, a long, b long"), "links")
     cut = found.join(parts.where("parts > 1").select("block"), "block", "left_semi")
     kept = found.join(parts.where("parts > 1").select("block"), "block", "left_anti")
     merged = components(cut.select("a", "b"), "merged").select(F.col("node").alias("sid"), F.col("component").alias("root"))
