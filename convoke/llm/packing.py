@@ -10,6 +10,7 @@ the search ends. What is still underfull in its lot is dealt into lots again wit
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ VOCABULARY, SEQUENCE, END = "word_bpe_49k.json", 2048, 0
 #: Pieces that one task packs together, about.
 LOT = 50_000
 #: Distinct words that a worker remembers; it forgets them all beyond that.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_200_000
 
 
 class WordIds:
@@ -40,14 +41,29 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words} - self.words.keys())
+        new = {w for words in split for w in words} - self.words.keys()
         if len(self.words) + len(new) > REMEMBERED:
             self.words = {"": b""}
-            new = list({w for words in split for w in words} - {""})
-        for word, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(found.ids, np.uint32).tobytes()
+            new = {w for words in split for w in words} - {""}
+        self.learn(new)
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
+    def learn(self, new: set[str]) -> None:
+        """Ids of new words. The tokenizer lower-cases and cuts signs off letters, so most words share a plainer one's."""
+        plain = {w: self.parts(w) for w in new}
+        cores = list(({core for core, _ in plain.values()} | {".", ","}) - self.words.keys())
+        for core, found in zip(cores, self.library.encode_batch_fast(cores, add_special_tokens=False), strict=True):
+            self.words[core] = array("I", found.ids).tobytes()
+        for word, (core, sign) in plain.items():
+            self.words[word] = self.words[core] + self.words[sign]
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """A word with the same ids in lower case (where that is plain), and the full stop or comma after its letters."""
+        sign = word[-1] if word[-1] in ".," and word[-2:-1].isalpha() else ""
+        core = word[: len(word) - len(sign)]
+        return (core.lower() if core.isascii() and "<|" not in core else core), sign
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .jaccard_join import op10_ngram_jaccard_join
+from .line_dedup import op9_line_dedup
 from .media import op6_media_columns
 from .packing import op3_best_fit_packing
 from .sentence_pieces import op5_sentence_pieces
 from .suffix_array import op1_suffix_array_dedup
 from .suffix_tree import op2_substring_dedup
 from .token_counts import op4_token_counts
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -18,7 +20,9 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_sentence_pieces": op5_sentence_pieces,
     "op6_media_columns": op6_media_columns,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
