@@ -2,16 +2,16 @@
 
 Equal sets are one entry, known by a hash. Candidates come from prefixes: of two sets that link, each has at least
 three quarters of its shingles in common with the other, so under one order of all shingles the first quarter (and one)
-of both share a shingle. The order puts rare shingles first, by counts over all documents, so what many documents
-repeat brings hardly any together. Documents that share a prefix shingle, and are of similar size, form blocks; within
-a block every document is looked up by T-occurrence search (DivideSkip): the short inverted lists of its shingles are
-heap-merged, the T - 1 longest are only probed, by bisection, for documents that the merge has found, and those with
-the required overlap link. Blocks too large for a task are dealt out as pairs of parts.
+of both share a shingle, and more the closer they are in size. The order puts rare shingles first, by counts over all
+documents, so what many documents repeat brings hardly any together. Documents of similar size that share as many
+prefix shingles as their sizes demand form blocks; within a block every document is looked up by T-occurrence search
+(DivideSkip): the short inverted lists of its shingles are heap-merged, the T - 1 longest are only probed, by
+bisection, for documents that the merge has found, and those
+with the required overlap link. Blocks too large for a task are dealt out as pairs of parts.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +34,7 @@ BLOCK, SHARE = 24 << 20, 16 << 20
 #: Shingles known to be frequent in all tasks: 4 bytes each, so a broadcast is 4 MB at most.
 KNOWN = 1 << 20
 #: Shingles of a block that one task may hold.
-MOST = 4_000_000
+MOST = 1_500_000
 
 
 
@@ -158,29 +158,35 @@ def known_frequent(docs: DataFrame, buckets: int, known: int = KNOWN) -> tuple[n
     return token[order], level[order]
 
 
-def prefix(s: np.ndarray, token: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The shortest start of a set, rare shingles first, that shares one with the start of every set it links with."""
-    length = len(s) - -(-3 * len(s) // 4) + 1
+def needed(n: np.ndarray) -> np.ndarray:
+    """Shingles that a set of n has in common with every set it links with, at least."""
+    return -(-3 * n // 4)
+
+
+def prefix(s: np.ndarray, token: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shortest start of a set, rare shingles first, that shares one with the start of every set it links with; and
+    which of them are known to be frequent."""
+    length = len(s) - int(needed(len(s))) + 1
     t = short(s)
     if len(token):
         at = np.minimum(np.searchsorted(token, t), len(token) - 1)
         lv = np.where(token[at] == t, level[at], 0)
         if lv.any():
-            return t[np.argsort(lv, kind="stable")[:length]]
-    return t[:length]
-
+            first = np.argsort(lv, kind="stable")[:length]
+            return t[first], lv[first] > 0
+    return t[:length], np.zeros(length, bool)
 
-def size_class(n: int) -> int:
-    """Sets that link are in the same or in neighbouring classes."""
-    return int(math.log(n) / math.log(4 / 3))
 
-
-def starred(token: np.ndarray, q: np.ndarray, sid: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by (token, q, sid), and the first row of each run with one token whose classes step by ``near`` at most."""
+def starred(token: np.ndarray, n: np.ndarray, sid: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (token, size class, sid), and the first row of each run with one token whose classes step by ``near``
+    at most: sets that link are in the same class or in neighbouring ones."""
+    q = np.floor(np.log(np.maximum(n, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64)
     order = np.lexsort((sid, q, token))
-    token, q = token[order], q[order].astype(np.int16)
+    token, q = token[order], q[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (q[1:] - q[:-1] > near)
+    if near == 0:
+        new[1:] |= q[1:] != q[:-1]
     return order, np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else np.zeros(0, np.int64)
 
 
@@ -191,38 +197,76 @@ def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+POSTED = "bucket int, token binary, n binary, sid binary, rare_token binary, rare_n binary, rare_sid binary, a binary, b binary"
+
+
 def _posted(buckets: int, frequent):
-    """Prefix shingles of each block: of those with one shingle and size class one set stays, the others are edges to it."""
+    """Prefix shingles of each block. Of the sets with one frequent shingle and one size class one stays for it, the
+    others are edges to that one; rare shingles keep all their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = frequent.value
         for held in _blocks(batches):
             starts = [prefix(s, known, level) for s in held.values()]
-            n = [len(x) for x in starts]
-            token = np.concatenate(starts)
-            sid = np.repeat(np.array(list(held), np.int64), n)
-            q = np.repeat(np.array([size_class(len(s)) for s in held.values()], np.int16), n)
-            order, first = starred(token, q, sid, 0)
-            token, q, sid = token[order], q[order], sid[order]
+            count = [len(x) for x, _ in starts]
+            token, often = (np.concatenate(x) for x in zip(*starts, strict=True))
+            sid = np.repeat(np.array(list(held), np.int64), count)
+            n = np.repeat(np.array([len(s) for s in held.values()], np.uint32), count)
+            rare = {k: x for k, *x in _by_bucket(buckets, token[~often], n[~often], sid[~often])}
+            token, n, sid = token[often], n[often], sid[often]
+            order, first = starred(token, n, sid, 0)
+            token, n, sid = token[order], n[order], sid[order]
             a, b = pairs(sid, sid[first])
             lead = np.unique(first)
-            rows = [(k, t, x, y, b"", b"") for k, t, x, y in _by_bucket(buckets, token[lead], q[lead], sid[lead])]
-            rows += [(i % buckets, b"", b"", b"", a[i : i + 5000].tobytes(), b[i : i + 5000].tobytes()) for i in range(0, len(a), 5000)]
+            often = {k: x for k, *x in _by_bucket(buckets, token[lead], n[lead], sid[lead])}
+            none = [b""] * 3
+            rows = [(k, *often.get(k, none), *rare.get(k, none), b"", b"") for k in often.keys() | rare.keys()]
+            rows += [(i // 5000 % buckets, *none, *none, a[i : i + 5000].tobytes(), b[i : i + 5000].tobytes()) for i in range(0, len(a), 5000)]
             if rows:
                 cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "token", "q", "sid", "a", "b"])
+                names = ["bucket", "token", "n", "sid", "rare_token", "rare_n", "rare_sid", "a", "b"]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
 
     return run
 
 
 def _met(group: pa.Table) -> pa.Table:
-    """Edges between sets with a prefix shingle in common, a star for each shingle."""
+    """Of a bucket: edges between sets with a frequent prefix shingle in common, a star for each; and pairs of sets that
+    share rare ones, with how many they share here and how many they need in all.
+
+    Of two sets the one whose prefix ends first has its other shared shingles behind it, so they must share in their
+    prefixes what the required overlap has beyond the longer of the rests."""
     read = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    token, q, sid = read("token", np.uint32), read("q", np.int16), read("sid", np.int64)
-    order, first = starred(token, q, sid, 1)
+    token, n, sid = read("token", np.uint32), read("n", np.uint32), read("sid", np.int64)
+    order, first = starred(token, n, sid, 1)
     sid = sid[order]
     a, b = pairs(np.concatenate((sid, read("a", np.int64))), np.concatenate((sid[first], read("b", np.int64))))
-    return pa.table({"a": a, "b": b})
+    token, n, sid = read("rare_token", np.uint32), read("rare_n", np.uint32).astype(np.int64), read("rare_sid", np.int64)
+    order = np.lexsort((sid, token))
+    token, n, sid = token[order], n[order], sid[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])  # one set may come from several blocks
+    shared = np.flatnonzero(new)
+    token, n, sid = token[shared], n[shared], sid[shared]
+    left, right, apart = [], [], 1
+    while apart < len(token):
+        at = np.flatnonzero(token[apart:] == token[:-apart])
+        if not len(at):
+            break
+        x, y = n[at], n[at + apart]
+        at = at[4 * np.minimum(x, y) >= 3 * np.maximum(x, y)]
+        left.append(at)
+        right.append(at + apart)
+        apart += 1
+    i, j = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (left, right))
+    order = np.lexsort((sid[j], sid[i]))
+    i, j = i[order], j[order]
+    edge = np.flatnonzero(np.concatenate(([True], (sid[i][1:] != sid[i][:-1]) | (sid[j][1:] != sid[j][:-1])))) if len(i) else np.zeros(0, np.int64)
+    times = np.diff(np.append(edge, len(i)))
+    i, j = i[edge], j[edge]
+    need = -(-3 * (n[i] + n[j]) // 7) - np.maximum(needed(n[i]), needed(n[j])) + 1
+    zero = np.zeros(len(a), np.int64)
+    return pa.table({"a": np.concatenate((a, sid[i])), "b": np.concatenate((b, sid[j])), "c": np.concatenate((zero, times)), "need": np.concatenate((zero, need))})
 
 
 def overlap(n: int, m: int) -> int:
@@ -355,8 +399,10 @@ def linked_sets(docs: DataFrame, described: DataFrame, known: int = KNOWN, most:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // SHARE))
     frequent = docs.sparkSession.sparkContext.broadcast(known_frequent(docs.select("text"), buckets, known))
-    rows = docs.select("text").mapInArrow(_posted(buckets, frequent), "bucket int, token binary, q binary, sid binary, a binary, b binary")
-    edges = written(rows.groupBy("bucket").applyInArrow(_met, "a long, b long").distinct(), "candidates")
+    rows = docs.select("text").mapInArrow(_posted(buckets, frequent), POSTED)
+    met = rows.groupBy("bucket").applyInArrow(_met, "a long, b long, c long, need long")
+    met = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
+    edges = written(met.where("c >= need").select("a", "b"), "candidates")
     blocks = components(edges, "blocks").select(F.col("node").alias("sid"), F.col("component").alias("block"))
     sets = described.where("n > 0").groupBy("sid").agg(F.min(F.struct("doc", "rid")).alias("at"), F.first("n").alias("n"))
     member = written(blocks.join(sets, "sid").select("sid", "block", "n", "at.doc", "at.rid"), "members")
