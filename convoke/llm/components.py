@@ -26,7 +26,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = written(small, name)
-        was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
+        was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == was:
             break
     roots = now.select(F.col("b").alias("node")).unionByName(nodes.select(F.col("a").alias("node"))).distinct()
