@@ -33,6 +33,8 @@ WORDS = 5
 BLOCK, SHARE = 24 << 20, 16 << 20
 #: Shingles known to be frequent in all tasks: 4 bytes each, so a broadcast is 4 MB at most.
 KNOWN = 1 << 20
+#: Rows of candidates, of some 60 bytes, that are broadcast; more are joined by a shuffle of the texts.
+BROADCAST = 1_000_000
 #: Shingles of a block that one task may hold.
 MOST = 1_500_000
 
@@ -411,7 +413,8 @@ def linked_sets(docs: DataFrame, described: DataFrame, known: int = KNOWN, most:
     parts = parts.withColumn("parts", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")))
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int").alias("part")
     dealt = member.join(parts, "block").select("doc", "rid", "sid", "block", "parts", part)
-    sets = docs.join(dealt, ["doc", "rid"]).select("sid", "block", "parts", "part", "text")
+    side = F.broadcast(dealt) if member.count() <= BROADCAST else dealt
+    sets = docs.join(side, ["doc", "rid"]).select("sid", "block", "parts", "part", "text")
     sets = sets.mapInArrow(_tokens, "sid long, block long, i int, j int, tokens binary")
     whole = sets.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
     found = written(whole.mapInArrow(_searched, "block long, a long, b long"), "links")
