@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from convoke.plans import sessions
+
+QUERIES: dict = {**sessions.QUERIES}
+ORACLE_SQL: dict[str, str] = {**sessions.ORACLE_SQL}
