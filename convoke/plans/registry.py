@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convoke.plans import sessions
+from convoke.plans import sessions, streams
 
-QUERIES: dict = {**sessions.QUERIES}
-ORACLE_SQL: dict[str, str] = {**sessions.ORACLE_SQL}
+QUERIES: dict = {**sessions.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**sessions.ORACLE_SQL, **streams.ORACLE_SQL}
