@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import held as kept_by_worker
 from .common import written
 
 U = np.uint64
@@ -250,6 +251,7 @@ def finder(units: Callable, win: int, gram: int, same_text: bool) -> Callable:
             yield rows(mix(d.astype(U) * U(31) + s.astype(U)), mix(s.astype(U)), d, r, s, np.zeros_like(s), e - s, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker("anchors")
         parts, size = [], 0
         for batch in batches:
             data, ends = buffers(batch.column("text"))

@@ -37,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make=lambda: None):
+    """make()'s object, kept by a worker from task to task until another operator takes its memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc (doc_id, null first), rid (24 bits of the text's hash; tells rows with one doc_id apart) and the text (null: empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import anchors
 from .anchors import U, mix
-from .common import NULL_ID, keyed, table, written
+from .common import NULL_ID, held, keyed, table, written
 from .components import components
 
 WORDS = 5
@@ -81,18 +81,19 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The different sets of about BLOCK bytes of text each."""
-    held: dict[int, np.ndarray] = {}
+    held("shingles")
+    sets: dict[int, np.ndarray] = {}
     size = 0
     for batch in batches:
         size += batch.column("text").nbytes
         for s in shingles(batch):
             if len(s):
-                held.setdefault(set_id(s), s)
+                sets.setdefault(set_id(s), s)
         if size >= BLOCK:
-            yield held
-            held, size = {}, 0
-    if held:
-        yield held
+            yield sets
+            sets, size = {}, 0
+    if sets:
+        yield sets
 
 
 def short(s: np.ndarray) -> np.ndarray:
@@ -114,8 +115,8 @@ def _counted(buckets: int):
     """Shingles of each block with their counts, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _blocks(batches):
-            token, n = np.unique(np.concatenate([short(s) for s in held.values()]), return_counts=True)
+        for sets in _blocks(batches):
+            token, n = np.unique(np.concatenate([short(s) for s in sets.values()]), return_counts=True)
             once = n == 1
             one = {k: x for k, x in _by_bucket(buckets, token[once])}
             more = {k: (x, y) for k, x, y in _by_bucket(buckets, token[~once], n[~once].astype(np.uint32))}
@@ -208,12 +209,12 @@ def _posted(buckets: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, level = frequent.value
-        for held in _blocks(batches):
-            starts = [prefix(s, known, level) for s in held.values()]
+        for sets in _blocks(batches):
+            starts = [prefix(s, known, level) for s in sets.values()]
             count = [len(x) for x, _ in starts]
             token, often = (np.concatenate(x) for x in zip(*starts, strict=True))
-            sid = np.repeat(np.array(list(held), np.int64), count)
-            n = np.repeat(np.array([len(s) for s in held.values()], np.uint32), count)
+            sid = np.repeat(np.array(list(sets), np.int64), count)
+            n = np.repeat(np.array([len(s) for s in sets.values()], np.uint32), count)
             rare = {k: x for k, *x in _by_bucket(buckets, token[~often], n[~often], sid[~often])}
             token, n, sid = token[often], n[often], sid[often]
             order, first = starred(token, n, sid, 0)

@@ -12,7 +12,6 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, table, written
+from .common import held, keyed, table, written
 
 VOCABULARY, SEQUENCE, END = "word_bpe_49k.json", 2048, 0
 #: Pieces that one task packs together, about.
@@ -65,16 +64,12 @@ class WordIds:
         return (core.lower() if core.isascii() and "<|" not in core else core), sign
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
-
-
 def pieces(documents: DataFrame, sequence: int = SEQUENCE, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
     """A row for each piece: others (all columns but text), doc, rid, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_ids(public_tokenizers.path(vocabulary))
+        path = public_tokenizers.path(vocabulary)
+        own = held((WordIds, path), lambda: WordIds(path))
         close = end.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

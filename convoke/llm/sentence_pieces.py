@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -20,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -123,11 +122,6 @@ class Pieces:
         return text.replace(MARK, " ")[1:]
 
 
-@lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
-
-
 def encoded(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """documents with ids (binary, little-endian 32-bit) and decoded (the text that they give back) in place of text.
 
@@ -135,7 +129,8 @@ def encoded(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(public_tokenizers.path(vocabulary))
+        path = public_tokenizers.path(vocabulary)
+        own = held((Pieces, path), lambda: Pieces(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

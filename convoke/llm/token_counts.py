@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import public_tokenizers
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Distinct chunks that a worker remembers; it forgets them all beyond that.
@@ -150,11 +149,6 @@ class PrefixCounter:
         return total, len("".join(chunks[:at]).encode()) + fits
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
-
-
 def token_counts(documents: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
     """documents with n_bytes, n_tokens, over_limit and fit_bytes in place of text; one row for each.
 
@@ -163,7 +157,8 @@ def token_counts(documents: DataFrame, limit: int = LIMIT, vocabulary: str = VOC
     through, whatever their names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(public_tokenizers.path(vocabulary))
+        path = public_tokenizers.path(vocabulary)
+        own = held((PrefixCounter, path), lambda: PrefixCounter(path))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = [own.count(t, limit) for t in texts]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import table, written
+from .common import held, table, written
 
 #: Labelled rows that models are fitted on, about; entries of the lexicon at most.
 SAMPLE, ENTRIES = 20_000, 4_000
@@ -27,7 +27,7 @@ SAMPLE, ENTRIES = 20_000, 4_000
 HEADS = (4, 5, 6)
 #: Documents of a toxic entry at least, and how many times more frequent (as a logarithm) it must be in toxic ones.
 SUPPORT, ODDS = 6, 3.0
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 NEAR = 6
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre tú ti tus usted ustedes vosotros".split())
 PLAIN = str.maketrans("0134578@$!|€", "oieastbasiie")
@@ -80,7 +80,13 @@ class Lexicon(dict):
 
 
 def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
-    """A row of FEATURES for each text."""
+    """A row of FEATURES for each text; a hundred texts at a time."""
+    held("toxicity")
+    parts = [_features(texts.slice(at, 100), lexicon) for at in range(0, len(texts), 100)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+
+
+def _features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     data, ends = anchors.buffers(texts)
     begins = np.concatenate(([0], ends[:-1]))
     total = lambda mask: np.diff(np.concatenate(([0], np.cumsum(mask)))[np.stack((begins, ends))], axis=0)[0]
