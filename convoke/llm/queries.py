@@ -6,6 +6,7 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .jaccard_join import op10_ngram_jaccard_join
 from .line_dedup import op9_line_dedup
 from .media import op6_media_columns
+from .oracles import OP2_SQL, OP10_SQL
 from .packing import op3_best_fit_packing
 from .sentence_pieces import op5_sentence_pieces
 from .suffix_array import op1_suffix_array_dedup
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
