@@ -50,7 +50,7 @@ def shingles(batch: pa.RecordBatch, words: int = WORDS) -> Iterator[np.ndarray]:
         n = len(hashes)
         gram = hashes.copy()
         for k in range(1, words):
-            gram[: n - k] = gram[: max(n - k, 0)] * anchors.power(1) + hashes[k:]
+            gram[: max(n - k, 0)] = gram[: max(n - k, 0)] * anchors.power(1) + hashes[k:]
         gram = mix(gram)
         begin = 0
         for end in upto.tolist():

@@ -75,6 +75,13 @@ def test_odd_rows(spark):
     assert groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("text", ["one", "one two", "one two three", "one two three four"])
+def test_one_short_text(spark, text):
+    """A lot of pieces that holds fewer words than a shingle."""
+    got = groups(spark.createDataFrame([(3, text)], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(3, 1, 3)]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000)]
