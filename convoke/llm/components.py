@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternates two steps until nothing changes, which takes about log(n) rounds: every node points its larger
     neighbours to the smallest one around it, then its smaller ones and itself. Each round's table is written down, so
-    a lost executor costs one round at most. Loops and repeated edges do no harm; no edges give no nodes."""
+    a lost executor costs one round at most, and the one before it deleted. Loops and repeated edges do no harm; no edges give no nodes."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     nodes = edges.where("a = b").select("a")
     now = written(now.distinct(), name)
@@ -25,7 +25,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small, name)
+        before, now = now, written(small, name)
+        dropped(before)
         was, mark = mark, tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == was:
             break
