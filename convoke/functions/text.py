@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: English contractions that are written out before texts are compared: ending, words. Whole words first.
-WHOLE = (("won't", "will not"), ("can't", "cannot"), ("shan't", "shall not"), ("let's", "let us"), ("it's", "it is"), ("ain't", "is not"))
-ENDINGS = (("n't", " not"), ("'re", " are"), ("'ve", " have"), ("'ll", " will"), ("'m", " am"), ("'d", " would"))
+#: English contractions that are written out, in this order, before texts are compared.
+CONTRACTIONS = (
+    ("won't", "will not"), ("can't", "can not"), ("let's", "let us"), ("n't", " not"), ("'re", " are"), ("'s", " is"),
+    ("'d", " would"), ("'ll", " will"), ("'t", " not"), ("'ve", " have"), ("'m", " am"),
+)
 
 #: A header line of a transcript: a name, then two clock times.
 HEADER = r"^\s*(\w+) +(\d+:\d\d(?::\d\d)?(?:\.\d+)?)(?: +(\d+:\d\d(?::\d\d)?(?:\.\d+)?))?"
@@ -40,19 +42,25 @@ def capitalised(text: Column) -> Column:
 
 
 def normal_words(text: Column) -> Column:
-    """Words without contractions, case, punctuation."""
-    out = F.regexp_replace(F.lower(text), "[’`]", "'")
-    for short, long in WHOLE:
-        out = F.regexp_replace(out, rf"\b{short}\b", long)
-    for short, long in ENDINGS:
-        out = F.regexp_replace(out, rf"(?<=\w){short}\b", long)
-    return F.array_remove(F.split(F.regexp_replace(out, r"[^\w\s]", ""), r"\s+"), "")
+    """Words without contractions (as they stand, before case goes), case, and signs of Unicode's punctuation.
+
+    White space of two characters or more is one space, and only spaces part words, so a single line end doesn't."""
+    out = text
+    for short, long in CONTRACTIONS:
+        out = F.replace(out, F.lit(short), F.lit(long))
+    out = F.regexp_replace(F.lower(out), r"[\x09-\x0D ][\x09-\x0D ]+", " ")
+    out = F.regexp_replace(out, r"^[\x09-\x0D ]+|[\x09-\x0D ]+$", "")
+    return F.array_remove(F.split(F.regexp_replace(out, r"\p{P}", ""), " "), "")
+
+
+def share_in_common(words: Column, reference: Column) -> Column:
+    """Distinct words in common by those of the reference, in percent; 0 for an empty reference. Both are distinct words."""
+    return F.when(F.size(reference) == 0, 0.0).otherwise(F.size(F.array_intersect(words, reference)) / F.size(reference) * 100)
 
 
 def overlap_percent(text: Column, reference: Column) -> Column:
     """Distinct words in common by distinct words of the reference, in percent; 0 for an empty reference."""
-    a, b = F.array_distinct(normal_words(text)), F.array_distinct(normal_words(reference))
-    return F.when(F.size(b) == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(b) * 100)
+    return share_in_common(F.array_distinct(normal_words(text)), F.array_distinct(normal_words(reference)))
 
 
 def parsed_actions(text: Column) -> Column:

@@ -4,6 +4,8 @@ The same fold serves batch (one pandas group a session) and stream (state of a s
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,22 +107,26 @@ def drift_free(pairs: DataFrame, top: int = 5000, metres: float = 0.1, degrees:
     """Running means of a camera pair's transformations without outliers: pair, n, t (mean translation), rejected.
 
     pairs: pair, arrival, t (3), angle (degrees of the rotation against the first). A value farther than the bounds
-    from the mean of the last ``top`` kept ones is taken back, so each step depends on the one before: an ordered fold."""
+    from the mean of the last ``top`` kept ones is taken back, so each step depends on the one before: an ordered fold of
+    each pair's rows, with sums of what is held."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         pdf = pdf.sort_values("arrival")
-        held: list[tuple] = []
-        rejected = 0
+        held: deque = deque()
+        total, rejected = np.zeros(4), 0
         for t, a in zip(pdf["t"], pdf["angle"], strict=True):
-            t = np.asarray(t, float)
+            row = np.array([*t, a], float)
             if held:
-                mean_t, mean_a = np.mean([x for x, _ in held], axis=0), float(np.mean([y for _, y in held]))
-                if np.linalg.norm(t - mean_t) > metres or abs(a - mean_a) > degrees:
+                off = row - total / len(held)
+                if np.linalg.norm(off[:3]) > metres or abs(off[3]) > degrees:
                     rejected += 1
                     continue
-            held = [*held, (t, a)][-top:]
-        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "n": [len(held)], "t": [np.mean([x for x, _ in held], axis=0).tolist()], "rejected": [rejected]})
+            held.append(row)
+            total += row
+            if len(held) > top:
+                total -= held.popleft()
+        return pd.DataFrame({"pair": [pdf["pair"].iloc[0]], "n": [len(held)], "t": [(total[:3] / len(held)).tolist()], "rejected": [rejected]})
 
     return pairs.groupBy("pair").applyInPandas(fold, "pair string, n long, t array<double>, rejected long")

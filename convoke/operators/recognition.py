@@ -80,6 +80,21 @@ def updated(library: DataFrame, probes: DataFrame, threshold: float = 0.6) -> Da
     return library.groupBy("library").cogroup(probes.groupBy("library")).applyInPandas(fold, shape)
 
 
+def updated_at_once(library: DataFrame, probes: DataFrame, library_size: int, threshold: float = 0.6) -> DataFrame:
+    """The library (speaker, centroid, n) after all probes (vec_id, v) were recognised against it as it is and, above the
+    threshold, folded into the centroids that they matched.
+
+    The form for many probes: scored in parallel, folded by sums. It differs from ``updated`` in that no probe sees what
+    another changed; feed probes in several batches, the library written between them, to come closer to their order."""
+    best = recognised(probes, library, library_size).where(F.col("similarity") > threshold)
+    units = probes.select("vec_id", V.unit(F.col("v")).alias("u")).join(best, "vec_id").select("speaker", F.posexplode("u").alias("i", "x"))
+    more = units.groupBy("speaker", "i").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("m"))
+    more = more.groupBy("speaker").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"), F.max("m").alias("m"))
+    j = library.join(more, "speaker", "left")
+    mean = F.zip_with("centroid", "c.x", lambda c, x: (c * F.col("n") + x) / (F.col("n") + F.col("m")))
+    return j.select("speaker", F.coalesce(mean, "centroid").alias("centroid"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+
+
 def best_result(results: DataFrame) -> DataFrame:
     """Of each segment's results the surest entry: bucket, segment, speaker, similarity, duration, base_id.
 

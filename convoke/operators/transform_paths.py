@@ -22,8 +22,12 @@ select start, array_join(path, ',') as path from walk where at = {end}
 def paths(edges: DataFrame, start: str, end: str) -> DataFrame:
     """start and path (edges joined by commas) for every way from start to end that uses no edge twice and stops at its
     first arrival. edges: src, dst. The graph has a node for each camera."""
-    spark = edges.sparkSession
-    return spark.sql(PATHS, edges=edges, start=start, end=end)
+    return edges.sparkSession.sql(PATHS, edges=edges, start=start, end=end)
+
+
+def paths_to(edges: DataFrame, end: str) -> DataFrame:
+    """paths() from every other start, in one walk."""
+    return edges.sparkSession.sql(PATHS.replace("src = {start}", "src <> {end}"), edges=edges, end=end)
 
 
 def quaternion(r: np.ndarray) -> np.ndarray:
@@ -57,12 +61,8 @@ def mean_transform(rows: DataFrame, *by: str) -> DataFrame:
 
 def exported(transforms: DataFrame, main: str) -> DataFrame:
     """For every system but main the mean, over all paths to main, of the chained transformations. transforms: src, dst,
-    r, t. A system without a path has no row. Starts are the cameras, known from the table itself."""
-    starts = [r.src for r in transforms.select("src").distinct().where(F.col("src") != main).orderBy("src").collect()]
-    found = None
-    for start in starts:
-        one = paths(transforms.select("src", "dst"), start, main)
-        found = one if found is None else found.unionByName(one)
+    r, t. A system without a path has no row; with none but main the result is empty."""
+    found = paths_to(transforms.select("src", "dst"), main)
     step = found.select("start", "path", F.posexplode(F.split("path", ",")).alias("k", "edge"))
     named = transforms.select(F.concat_ws("-", "src", "dst").alias("edge"), "r", "t")
     chain = step.join(named, "edge").groupBy("start", "path").agg(F.array_sort(F.collect_list(F.struct("k", "r", "t"))).alias("x"))

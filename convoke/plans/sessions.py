@@ -26,7 +26,7 @@ def dialogue_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.speaker_recognition(spark, sf_dir)
-    report = speech.session_report(rows, speech.conversation_metrics(rows.where("bucket < 'session_2024-01-20'")))
+    report = speech.session_report(rows, speech.conversation_metrics(rows))
     return rounded(report, "apd", "peq", "nttc", "sr").select("bucket", "apd", "peq", "nttc", "sr")
 
 
@@ -175,7 +175,7 @@ ORACLE_SQL = {
     "dialogue_metrics": f"""with s as (select 'session_' || conv_id as bucket, turn as seg, [case role when 'system' then 'silent' else role end] as speakers,
         [length(text)::double] as durations from conversations), {METRICS} select bucket, n, apd, peq, nttc, sr from metrics""",
     "session_report": f"""with {ENTRIES}, {METRICS}, every as (select distinct bucket from s)
-        select bucket, apd, peq, nttc, sr from every left join (select * from metrics where bucket < 'session_2024-01-20') using (bucket)""",
+        select bucket, apd, peq, nttc, sr from every left join metrics using (bucket)""",
     "speaking_time": f"with {ENTRIES} select bucket, speaker, round(sum(duration), 4) as seconds, count(*) as segments from e group by all",
     "similarity_grid": f"""with {ENTRIES}, h as (select bucket, seg, speaker, sum(similarity) as sim from e group by all),
         names as (select distinct bucket, speaker from e), total as (select bucket, seg, sum(sim) as total from h group by all)

@@ -44,8 +44,19 @@ def windows_stream(messages: DataFrame, seconds: int = 1, late: str = "5 seconds
 
 
 def changed_sections(rows: DataFrame, key: str) -> DataFrame:
-    """A live view's updates: each section once for each new value of its key time."""
-    return rows.dropDuplicates(["bucket", "section", key])
+    """A live view's updates: a stream's rows (bucket, section, key, ...) whose key differs from the one last sent for their
+    section, so a section that goes back to an earlier key is sent again. The state is one key for each section."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for pdf in batches:
+            sent = pdf[key].ne(pdf[key].shift(fill_value=last)) if last is not None else pdf[key].ne(pdf[key].shift())
+            last = pdf[key].iloc[-1]
+            state.update((last,))
+            yield pdf[sent]
+
+    return rows.groupBy("bucket", "section").applyInPandasWithState(step, rows.schema, f"last {kind}", "append", GroupStateTimeout.NoTimeout)
 
 
 def to_sink(rows: DataFrame, path: str, checkpoint: str):
