@@ -119,20 +119,31 @@ def npy(image: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def tiled(image: np.ndarray, size: int, tile: int) -> list[tuple[int, int, bytes, str]]:
+    """Row, column, NPY bytes and difference hash of each tile of an image area-resized to size x size."""
+    if not image.size:
+        raise ValueError("an image without pixels")
+    image = np.clip(np.rint(resized(image, size, size)), 0, 255).astype(np.uint8)
+    cut = [(r // tile, c // tile, image[r : r + tile, c : c + tile]) for r in range(0, size, tile) for c in range(0, size, tile)]
+    return [(r, c, npy(x), difference_hash(x)) for r, c, x in cut]
+
+
 def tiles(images: DataFrame, column: str = "image", size: int = 224, tile: int = 112) -> DataFrame:
     """A row for each tile: the other columns, row, col, npy (binary, tile x tile x channels of 8-bit samples), dhash.
 
-    Images are area-resized to size x size first. A null image has no tiles; one that can't be decoded raises an
-    error. Other columns pass through unless they are named as a new one, which then replaces it."""
+    Images are area-resized to size x size first. A null image has no tiles; one that can't be decoded has one row with
+    null in the new columns. Other columns pass through unless they are named as a new one, which then replaces it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, data in enumerate(batch.column("image").to_pylist()):
                 if data is None:
                     continue
-                image = np.clip(np.rint(resized(decode(data), size, size)), 0, 255).astype(np.uint8)
-                cut = [(r, c, image[r : r + tile, c : c + tile]) for r in range(0, size, tile) for c in range(0, size, tile)]
-                cols = [pa.array([r // tile for r, _, _ in cut], pa.int32()), pa.array([c // tile for _, c, _ in cut], pa.int32()), pa.array([npy(x) for _, _, x in cut], pa.binary()), pa.array([difference_hash(x) for _, _, x in cut])]
+                try:
+                    cut = tiled(decode(data), size, tile)
+                except (ValueError, IndexError, struct.error, ZeroDivisionError):
+                    cut = [(None,) * 4]
+                cols = [pa.array(x, kind) for x, kind in zip(zip(*cut, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
                 others = batch.column("others").take(pa.array([i] * len(cut)))
                 yield pa.RecordBatch.from_arrays([others, *cols], names=["others", "row", "col", "npy", "dhash"])
 
@@ -150,9 +161,11 @@ def payload_image(payload: bytes) -> bytes:
     return encode_ppm(np.frombuffer(padded, np.uint8).reshape(rows, ROW // 3, 3))
 
 
-def text_images(documents: DataFrame) -> DataFrame:
+def text_images(documents: DataFrame, size: int = 32, tile: int = 16) -> DataFrame:
     """documents with their text stored as an image and read back: n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256 and feature (the difference hash) in place of text.
+    tail_crc32, media_bytes, media_sha256 and feature (the difference hash) in place of text; then bmp_sha256 (the same image
+    as BMP), bmp_payload_sha256 (what that holds when read back), and of the NPY tiles of the image area-resized to size x
+    size, row by row, tiles_sha256 (their bytes) and tile_hashes (their difference hashes, joined by spaces).
 
     A null or empty text is one row of padding. Equal texts give equal values. Other columns pass through unless named
     as one of the new ones, which then replaces it."""
@@ -164,19 +177,23 @@ def text_images(documents: DataFrame) -> DataFrame:
                 media = payload_image(data)
                 image = decode(media)
                 back = np.ascontiguousarray(image).tobytes()
-                out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)))
+                bmp = encode_bmp(image)
+                cut = tiled(decode(bmp), size, tile)
+                sha = lambda *parts: hashlib.sha256(b"".join(parts)).hexdigest()
+                row = (len(data), len(back), sha(back), zlib.crc32(back[-32:]), len(media), sha(media), difference_hash(image))
+                out.append((*row, sha(bmp), sha(np.ascontiguousarray(decode(bmp)).tobytes()), sha(*(x[2] for x in cut)), " ".join(x[3] for x in cut)))
             cols = [pa.array(x) for x in zip(*out, strict=True)] if out else [pa.array([], f.type) for f in batch.schema][:0]
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("others"), *cols], names=["others", *new])
 
-    new = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    new = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "bmp_sha256", "bmp_payload_sha256", "tiles_sha256", "tile_hashes"]
     others = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in documents.columns if c != "text" and c.lower() not in new)).alias("others")
     df = documents.select(others, F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     kind = df.schema["others"].dataType.simpleString()
-    out = df.mapInArrow(run, f"others {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = df.mapInArrow(run, f"others {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, bmp_sha256 string, bmp_payload_sha256 string, tiles_sha256 string, tile_hashes string")
     return out.select("others.*", *new).drop("_")
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its text's bytes as an image, read back, with digests and a difference hash."""
+    """Per document: its text's bytes as an image, read back, with digests and hashes of its forms and tiles."""
     return text_images(table(spark, sf_dir, "documents").select("doc_id", "text"))

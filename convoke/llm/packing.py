@@ -58,8 +58,11 @@ class WordIds:
 
     @staticmethod
     def parts(word: str) -> tuple[str, str]:
-        """A word with the same ids in lower case (where that is plain), and the full stop or comma after its letters."""
-        sign = word[-1] if word[-1] in ".," and word[-2:-1].isalpha() else ""
+        """A word with the same ids in lower case (where that is plain), and the full stop or comma after its letters.
+
+        Only after a letter of ASCII: others may be taken apart when the library normalises the word, so that the sign
+        follows a mark."""
+        sign = word[-1] if word[-1] in ".," and word[-2:-1].isalpha() and word[-2:-1].isascii() else ""
         core = word[: len(word) - len(sign)]
         return (core.lower() if core.isascii() and "<|" not in core else core), sign
 

@@ -1,6 +1,8 @@
 """Packing: whole, gapless and tight. Media: exact round trips and area means."""
 
+import hashlib
 import io
+import struct
 import zlib
 
 import numpy as np
@@ -20,6 +22,17 @@ def test_word_ids_match_the_library():
         assert np.frombuffer(ids, np.uint32).tolist() == lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_ids_of_every_letter():
+    """Every letter below U+20000, alone and in a word, with a full stop and a comma after it."""
+    own = packing.WordIds(P.path("word_bpe_49k.json"))
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x20000)) if c.isalpha()]
+    for form in ("{}.", "{},", "a{}.", "{}b,"):
+        every = [form.format(c) for c in letters]
+        want = lib.encode_batch_fast(every, add_special_tokens=False)
+        assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(every)] == [w.ids for w in want]
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(2)
     for _ in range(5):
@@ -92,4 +105,41 @@ def test_columns(spark):
     by = {r.doc_id: r for r in media.text_images(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert by[1].payload_bytes == 576 and by[4].payload_bytes == 1152 and by[2].payload_sha256 == by[3].payload_sha256
     assert by[2].n_bytes == 0 and by[2].tail_crc32 == zlib.crc32(b"\xff" * 32)
+    broken = spark.createDataFrame([(1, b""), (2, b"P6\n9 9\n255\nshort"), (3, b"BM"), (4, media.encode_ppm(image))], "id int, image binary")
+    got = media.tiles(broken, size=32, tile=16).collect()
+    assert sorted(r.id for r in got) == [1, 2, 3, 4, 4, 4, 4] and all((r.npy is None) == (r.id < 4) for r in got)
     assert media.text_images(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_text_images_by_brute_force(spark):
+    """Every column computed anew: headers by hand, hashes and area means by plain loops."""
+    rows = [(i, t) for i, t in enumerate(texts(9)[:60])] + [(100, None), (101, "x" * 577)]
+
+    def means(image, height, width):
+        h, w, c = image.shape
+        fine = np.repeat(np.repeat(image.astype(float), height, 0), width, 1)
+        return fine.reshape(height, h, width, w, c).mean((1, 3))
+
+    def dhash(image):
+        grey = np.rint(means(image, 8, 9).mean(axis=2) * 1024)
+        bits = "".join("1" if grey[r, c] > grey[r, c + 1] else "0" for r in range(8) for c in range(8))
+        return f"{int(bits, 2):016x}"
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: r for r in media.text_images(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, text in rows:
+        data = (text or "").encode()
+        payload = data + b"\xff" * (-len(data) % 576 or (576 if not data else 0))
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 192, 3)
+        ppm = b"P6\n192 %d\n255\n" % len(image) + payload
+        bmp = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + len(payload), 0, 0, 54, 40, 192, len(image), 1, 24, 0, len(payload), 2835, 2835, 0, 0)
+        bmp += b"".join(bytes(row[:, ::-1].ravel()) for row in image[::-1])
+        small = np.rint(means(image, 32, 32)).astype(np.uint8)
+        cut = [small[r : r + 16, c : c + 16] for r in (0, 16) for c in (0, 16)]
+        out = io.BytesIO()
+        for x in cut:
+            np.save(out, x)
+        r = got[doc]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.bmp_payload_sha256) == (len(data), len(payload), sha(payload), sha(payload))
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256, r.bmp_sha256) == (zlib.crc32(payload[-32:]), len(ppm), sha(ppm), sha(bmp))
+        assert (r.feature, r.tiles_sha256, r.tile_hashes) == (dhash(image), sha(out.getvalue()), " ".join(map(dhash, cut))), doc
