@@ -37,8 +37,8 @@ KNOWN = 1 << 20
 BROADCAST = 1_000_000
 #: Shingles of a block that one task may hold.
 MOST = 1_500_000
-
-
+#: Sets with one rare shingle that meet pair by pair; of more, each meets the first of its size.
+FEW = 64
 
 
 def shingles(batch: pa.RecordBatch, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -59,8 +59,9 @@ def shingles(batch: pa.RecordBatch, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield np.unique(gram[begin : end - words + 1])
             elif count:
                 h = U(count)
-                for x in hashes[begin:end]:
-                    h = mix(np.array([h * anchors.power(3) + x]))[0]
+                with np.errstate(over="ignore"):
+                    for x in hashes[begin:end]:
+                        h = mix(np.array([h * anchors.power(3) + x]))[0]
                 yield np.array([h], U)
             else:
                 yield np.zeros(0, U)
@@ -69,7 +70,8 @@ def shingles(batch: pa.RecordBatch, words: int = WORDS) -> Iterator[np.ndarray]:
 
 def set_id(s: np.ndarray) -> int:
     """A 64-bit hash of a set, signed."""
-    return int((mix(s ^ U(0x5555)).sum(dtype=U) * U(31) + mix(s).sum(dtype=U) ^ U(len(s))).astype(np.int64)) if len(s) else 0
+    with np.errstate(over="ignore"):
+        return int((mix(s ^ U(0x5555)).sum(dtype=U) * U(31) + mix(s).sum(dtype=U) ^ U(len(s))).astype(np.int64)) if len(s) else 0
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,12 +99,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def short(s: np.ndarray) -> np.ndarray:
-    """32 bits of shingles' hashes, for counts and candidates (two that coincide only make more candidates)."""
+    """32 bits of shingles' hashes, by which they are counted (two that coincide only count as more frequent)."""
     return (s >> U(32)).astype(np.uint32)
 
 
 def _by_bucket(buckets: int, token: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
-    which = token % np.uint32(buckets)
+    which = token % token.dtype.type(buckets)
     order = np.argsort(which, kind="stable")
     edges = np.searchsorted(which[order], np.arange(buckets + 1))
     for k in range(buckets):
@@ -176,8 +178,8 @@ def prefix(s: np.ndarray, token: np.ndarray, level: np.ndarray) -> tuple[np.ndar
         lv = np.where(token[at] == t, level[at], 0)
         if lv.any():
             first = np.argsort(lv, kind="stable")[:length]
-            return t[first], lv[first] > 0
-    return t[:length], np.zeros(length, bool)
+            return s[first], lv[first] > 0
+    return s[:length], np.zeros(length, bool)
 
 
 def starred(token: np.ndarray, n: np.ndarray, sid: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,24 +235,28 @@ def _posted(buckets: int, frequent):
     return run
 
 
-def _met(group: pa.Table) -> pa.Table:
+def _met(group: pa.Table, few: int = FEW) -> pa.Table:
     """Of a bucket: edges between sets with a frequent prefix shingle in common, a star for each; and pairs of sets that
     share rare ones, with how many they share here and how many they need in all.
 
     Of two sets the one whose prefix ends first has its other shared shingles behind it, so they must share in their
     prefixes what the required overlap has beyond the longer of the rests."""
     read = lambda name, kind: np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
-    token, n, sid = read("token", np.uint32), read("n", np.uint32), read("sid", np.int64)
+    rare_token, rare_n, rare_sid = read("rare_token", U), read("rare_n", np.uint32), read("rare_sid", np.int64)
+    order = np.lexsort((rare_sid, rare_token))
+    rare_token, rare_n, rare_sid = rare_token[order], rare_n[order], rare_sid[order]
+    new = np.ones(len(rare_token), bool)
+    new[1:] = (rare_token[1:] != rare_token[:-1]) | (rare_sid[1:] != rare_sid[:-1])  # one set may come from several blocks
+    rare_token, rare_n, rare_sid = rare_token[new], rare_n[new], rare_sid[new]
+    # What more than FEW sets have is frequent after all: stars in place of all pairs.
+    edges = np.flatnonzero(np.concatenate((rare_token[1:] != rare_token[:-1], [True]))) if len(rare_token) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate(([-1], edges)))
+    many = np.repeat(times > few, times)
+    token, n, sid = (np.concatenate((x, y[many])) for x, y in ((read("token", U), rare_token), (read("n", np.uint32), rare_n), (read("sid", np.int64), rare_sid)))
     order, first = starred(token, n, sid, 1)
     sid = sid[order]
     a, b = pairs(np.concatenate((sid, read("a", np.int64))), np.concatenate((sid[first], read("b", np.int64))))
-    token, n, sid = read("rare_token", np.uint32), read("rare_n", np.uint32).astype(np.int64), read("rare_sid", np.int64)
-    order = np.lexsort((sid, token))
-    token, n, sid = token[order], n[order], sid[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])  # one set may come from several blocks
-    shared = np.flatnonzero(new)
-    token, n, sid = token[shared], n[shared], sid[shared]
+    token, n, sid = rare_token[~many], rare_n[~many].astype(np.int64), rare_sid[~many]
     left, right, apart = [], [], 1
     while apart < len(token):
         at = np.flatnonzero(token[apart:] == token[:-apart])
@@ -403,7 +409,7 @@ def linked_sets(docs: DataFrame, described: DataFrame, known: int = KNOWN, most:
     buckets = max(8, -(-size // SHARE))
     frequent = docs.sparkSession.sparkContext.broadcast(known_frequent(docs.select("text"), buckets, known))
     rows = docs.select("text").mapInArrow(_posted(buckets, frequent), POSTED)
-    met = rows.groupBy("bucket").applyInArrow(_met, "a long, b long, c long, need long")
+    met = rows.groupBy("bucket").applyInArrow(lambda group: _met(group), "a long, b long, c long, need long")
     met = met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need"))
     edges = written(met.where("c >= need").select("a", "b"), "candidates")
     blocks = components(edges, "blocks").select(F.col("node").alias("sid"), F.col("component").alias("block"))

@@ -3,8 +3,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from convoke.llm import jaccard_join
 from convoke.llm.components import components
 from convoke.llm.jaccard_join import groups, linked
 
@@ -93,3 +96,34 @@ def test_components(spark):
             root[x] = root[y] = min(root[x], root[y])
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == root
+
+
+def test_stars_for_shared_rare_shingles():
+    """A bucket whose shingles many sets share gives the same groups with stars as pair by pair."""
+    rng = np.random.default_rng(8)
+    token = rng.integers(0, 40, 3000).astype(np.uint64)
+    n = rng.integers(20, 60, 3000).astype(np.uint32)
+    sid = (np.arange(3000) % 400 + 1).astype(np.int64)
+    n = n[sid - 1]
+    none = pa.array([b""])
+    cols = {k: none for k in ("token", "n", "sid", "a", "b")} | {"rare_token": pa.array([token.tobytes()]), "rare_n": pa.array([n.tobytes()]), "rare_sid": pa.array([sid.tobytes()])}
+    group = pa.table({"bucket": pa.array([0], pa.int32()), **cols})
+
+    def roots(few):
+        out, root = jaccard_join._met(group, few).to_pydict(), {}
+
+        def top(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b, c, need in zip(*(out[k] for k in ("a", "b", "c", "need")), strict=True):
+            if c >= need:
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+        return out, top
+
+    every, _ = roots(10**6)
+    stars, top = roots(4)
+    assert len(stars["a"]) < len(every["a"]) / 4
+    assert all(top(a) == top(b) for a, b, c, need in zip(*(every[k] for k in ("a", "b", "c", "need")), strict=True) if c >= need)
