@@ -12,7 +12,8 @@ Three steps, all of them exact:
 2. Contexts that share an anchor with a different one are fetched (``texts``) and compared window by window by the
    caller's index, a bounded number of them at a time.
 3. Anchors with more than ``HEAVY`` different contexts are taken apart into single windows, whose first places are
-   found by an aggregate (``heavy``), so no task holds one gram's contexts together.
+   found by an aggregate (``heavy``), so no task holds one gram's contexts together. Those that a sample shows
+   (``hot_grams``) don't even meet to be counted.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BASE = 0x9E3779B97F4A7C15
 PIECE, BLOCK = 1 << 15, 24 << 20
 #: Different contexts of one anchor that a task may hold together.
 HEAVY = 12_000
+#: Documents of which one is looked at for hot grams, and hot grams (8 bytes each) that are broadcast.
+SAMPLED, HOTTEST = 32, 65_536
 #: Places inside a text take the low bits of a position, the key of the row (rid) the bits above.
 PLACE = 36
 
@@ -379,18 +382,30 @@ def single_windows(win: int, unit: type) -> Callable:
     return run
 
 
+def hot_grams(docs: DataFrame, units: Callable, win: int, gram: int, same_text: bool, heavy: int) -> DataFrame:
+    """ah and hot (true) of the grams that one document of SAMPLED shows to have more than ``heavy`` contexts; HOTTEST at most.
+
+    It only tells which grams are taken apart before they meet in a task; grams that it misses are taken apart after."""
+    some = docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).mapInArrow(finder(units, win, gram, same_text), FOUND)
+    times = some.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy // SAMPLED)
+    return times.orderBy(F.desc("n"), "ah").limit(HOTTEST).select("ah", F.lit(True).alias("hot"))
+
+
 def repeats(docs: DataFrame, units: Callable, win: int, gram: int, mark: Callable, same_text: bool, most: int, heavy: int = HEAVY) -> DataFrame:
     """(doc, rid, s, e): spans of units, covered by windows that occur at an earlier place. docs: doc, rid, text."""
     as_words = units is not byte_units
     unit = U if as_words else np.uint8
     found = docs.mapInArrow(finder(units, win, gram, same_text), FOUND)
-    # One exchange by anchor serves all window functions; hot contexts were reduced to a row a block before it.
-    group, run = Window.partitionBy("ah"), Window.partitionBy("ah", "ch").orderBy("doc", "pos")
+    found = found.join(F.broadcast(hot_grams(docs, units, win, gram, same_text, heavy)), "ah", "left").withColumn("part", F.when(F.col("hot"), F.pmod("ch", F.lit(4096))).otherwise(0))
+    # One exchange by anchor serves all window functions; hot contexts were reduced to a row a block before it, and a hot
+    # gram's contexts are dealt out by what they hold.
+    group, run = Window.partitionBy("ah", "part"), Window.partitionBy("ah", "part", "ch").orderBy("doc", "pos")
     lead = F.first(F.struct("doc", "pos")).over(run)
     seen = found.withColumns({"lead": lead, "several": F.min("ch").over(group) != F.max("ch").over(group), "n": F.count(F.lit(1)).over(group)})
     later = (F.struct("doc", "pos") > F.col("lead")) if same_text else (F.col("doc") > F.col("lead.doc"))
     seen = seen.withColumn("again", F.col("settled") | later)
-    kept = seen.where(F.col("again") | F.col("several")).select("ah", "doc", "pos", "l", "r", "again", (F.col("n") > heavy).alias("heavy"))
+    hot = F.coalesce("hot", F.lit(False))
+    kept = seen.where(F.col("again") | F.col("several") | hot).select("ah", "doc", "pos", "l", "r", "again", (hot | (F.col("n") > heavy)).alias("heavy"))
     kept = written(kept, "contexts")
     place, rid = F.col("pos").bitwiseAND((1 << PLACE) - 1), F.shiftright("pos", PLACE).cast("int").alias("rid")
     whole = kept.where("again").select("doc", rid, (place - F.col("l")).alias("s"), (place + F.col("r")).alias("e"))
