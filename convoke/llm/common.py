@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
+    """The folder that the driver and all executors see; a temporary one only where the session names none and runs in
+    one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         found = tempfile.mkdtemp(prefix="convoke-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,3 +69,9 @@ def keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
         text.alias("text"),
         *more,
     )
+
+
+def others(df: DataFrame, *new: str) -> tuple[Column, list[Column]]:
+    """A struct ``others`` of all columns but text and those that new ones replace, and what takes them out of it again."""
+    names = [c for c in df.columns if c != "text" and c.lower() not in new]
+    return F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in names)).alias("others"), [F.col(f"others.`{c}`") for c in names]

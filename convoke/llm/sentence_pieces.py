@@ -19,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import held, others, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -125,8 +125,8 @@ class Pieces:
 def encoded(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """documents with ids (binary, little-endian 32-bit) and decoded (the text that they give back) in place of text.
 
-    A null or empty text has no ids. A space sign in a text is decoded as a space. Other columns pass through, whatever
-    their names."""
+    A null or empty text has no ids. A space sign in a text is decoded as a space. Other columns pass through unless
+    named as one of the new ones, which then replaces it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = public_tokenizers.path(vocabulary)
@@ -138,10 +138,10 @@ def encoded(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 back = [own.decode(np.frombuffer(x, np.uint32)) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("others"), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=["others", "ids", "decoded"])
 
-    others = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("others")
-    df = documents.select(others, F.coalesce("text", F.lit("")).alias("text"))
+    held_too, back = others(documents, "ids", "decoded")
+    df = documents.select(held_too, F.coalesce("text", F.lit("")).alias("text"))
     schema = f"others {df.schema['others'].dataType.simpleString()}, ids binary, decoded string"
-    return df.mapInArrow(run, schema).select("others.*", "ids", "decoded")
+    return df.mapInArrow(run, schema).select(*back, "ids", "decoded")
 
 
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

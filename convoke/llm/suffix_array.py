@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import keyed, table
+from .common import keyed, others, table
 
 MIN_BYTES, GRAM = 100, 32
 #: Bytes indexed together, about; all of an anchor's contexts always are.
@@ -176,14 +176,15 @@ def dedup(documents: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, he
     Earlier means a smaller doc_id, or an earlier start in one document. A null text is empty, a null doc_id comes
     before all others. Texts of fewer than min_bytes bytes stay as they are. Rows that repeat a doc_id are told apart
     by their texts: different ones are ordered by a hash of the text, equal ones are one document and get equal
-    results. Other columns pass through, whatever their names; an empty table gives an empty one."""
+    results. Other columns pass through unless named as one of the new ones, which then replaces it; an empty table gives
+    an empty one."""
     docs = keyed(documents)
     spans = repeated_spans(docs, min_bytes, gram, heavy).groupBy("doc", "rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    others = [c for c in documents.columns if c != "text"]
-    whole = keyed(documents, F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
+    held, back = others(documents, "kept", "n_removed", "n_spans")
+    whole = keyed(documents, held)
     joined = whole.join(spans, ["doc", "rid"], "left").select("others", "text", "spans")
     schema = f"others {joined.schema['others'].dataType.simpleString()}, kept binary, n_removed long, n_spans long"
-    return joined.mapInArrow(_cut, schema).select("others.*", "kept", "n_removed", "n_spans")
+    return joined.mapInArrow(_cut, schema).select(*back, "kept", "n_removed", "n_spans")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import keyed, table
+from .common import keyed, others, table
 from .suffix_array import spans_of, suffix_order
 
 WINDOW, GRAM = 50, 8
@@ -96,15 +96,15 @@ def dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: i
     space), n_words, n_removed.
 
     Earlier means a smaller doc_id; a null doc_id comes before all others and a null text has no words. Rows that
-    repeat a doc_id never remove words from each other. Other columns pass through, whatever their names; an empty
-    table gives an empty one."""
+    repeat a doc_id never remove words from each other. Other columns pass through unless named as one of the
+    new ones, which then replaces it; an empty table gives an empty one."""
     docs = keyed(documents)
     spans = repeated_spans(docs, window, gram, heavy).groupBy("doc", "rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    others = [c for c in documents.columns if c != "text"]
-    whole = keyed(documents, F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
+    held, back = others(documents, "kept", "n_words", "n_removed")
+    whole = keyed(documents, held)
     joined = whole.join(spans, ["doc", "rid"], "left").select("others", "text", "spans")
     schema = f"others {joined.schema['others'].dataType.simpleString()}, kept string, n_words long, n_removed long"
-    return joined.mapInArrow(_cut, schema).select("others.*", "kept", "n_words", "n_removed")
+    return joined.mapInArrow(_cut, schema).select(*back, "kept", "n_words", "n_removed")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held, table
+from .common import held, others, table
 
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Distinct chunks that a worker remembers; it forgets them all beyond that.
@@ -154,7 +154,7 @@ def token_counts(documents: DataFrame, limit: int = LIMIT, vocabulary: str = VOC
 
     fit_bytes: bytes of the longest prefix whose pieces have limit tokens at most (-1 for a text beyond the limit with
     a special token in it, which the library counts as one). A null or empty text has no tokens. Other columns pass
-    through, whatever their names."""
+    through unless named as one of the new ones, which then replaces it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = public_tokenizers.path(vocabulary)
@@ -166,10 +166,10 @@ def token_counts(documents: DataFrame, limit: int = LIMIT, vocabulary: str = VOC
             cols = [pa.array(size, pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([n > limit for n, _ in found]), pa.array([b for _, b in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column("others"), *cols], names=["others", "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
-    others = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("others")
-    df = documents.select(others, F.coalesce("text", F.lit("")).alias("text"))
+    held_too, back = others(documents, "n_bytes", "n_tokens", "over_limit", "fit_bytes")
+    df = documents.select(held_too, F.coalesce("text", F.lit("")).alias("text"))
     schema = f"others {df.schema['others'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long"
-    return df.mapInArrow(run, schema).select("others.*", "n_bytes", "n_tokens", "over_limit", "fit_bytes")
+    return df.mapInArrow(run, schema).select(*back, "n_bytes", "n_tokens", "over_limit", "fit_bytes")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

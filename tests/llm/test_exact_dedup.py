@@ -35,4 +35,5 @@ def test_groups(spark):
     got = groups(df).collect()
     assert sorted(str((r.doc_id, r.keep_id, r.group_size, r.text_sha256)) for r in got) == want
     assert all(r.kept == (r.doc_id == r.keep_id) or not r.kept for r in got)
+    assert {r.text_sha256 for r in got if r.kept} == {r.text_sha256 for r in got}
     assert groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
