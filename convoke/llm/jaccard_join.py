@@ -75,6 +75,7 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("shingles")
     for batch in batches:
         sets = list(shingles(batch))
         n, sid = [len(s) for s in sets], [set_id(s) for s in sets]
