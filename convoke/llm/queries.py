@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .fill_in_middle import OP11_SQL, op11_fill_in_middle
 from .jaccard_join import op10_ngram_jaccard_join
 from .line_dedup import op9_line_dedup
 from .media import op6_media_columns
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
