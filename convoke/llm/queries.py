@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .covering_simhash import op12_covering_simhash
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fill_in_middle import OP11_SQL, op11_fill_in_middle
 from .jaccard_join import op10_ngram_jaccard_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_covering_simhash": op12_covering_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
