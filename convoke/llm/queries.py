@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_trie import OP13_SQL, op13_conversation_trie
 from .covering_simhash import op12_covering_simhash
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .fill_in_middle import OP11_SQL, op11_fill_in_middle
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_covering_simhash": op12_covering_simhash,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op8_exact_dedup": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op13_conversation_trie": OP13_SQL}
