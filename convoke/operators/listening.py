@@ -9,14 +9,15 @@ state held at a time) and stream (typed state: see streaming.listening).
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convoke.operators.folds import folded
+
 SENTINELS = ("silent", "unknown")
 
 #: Messages of a base. kind: segment, register (v of a voice, speaker its name) or reset (forget all voices). pcm: 16-bit
@@ -295,35 +296,13 @@ class Base:
         return reconciled(entries) or [{"speaker": "silent", "similarity": 0.0, "duration": r.seconds, "pcm": b""}]
 
 
-COLUMNS = [c.strip().split(" ")[0] for c in HEARD.split(", ")]
-
-
-def frame(rows: list[dict], bucket: str, base: str) -> pd.DataFrame:
-    every = [{c: None for c in COLUMNS} | {"bucket": bucket, "base_id": base} | r for r in rows]
-    return pd.DataFrame(every, columns=COLUMNS).astype({"arrival": "Int64"})
-
-
 def heard(messages: DataFrame, rules: Rules, flush: bool = False) -> DataFrame:
     """Results and chunks (HEARD) of messages (MESSAGES), in order of arrival for each base of each session.
 
     What is open in the end is lost unless flushed. A base's messages are one ordered fold; rows pass through it
     sorted, so that a task holds one base's state at a time."""
 
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, base = None, None
-        for pdf in parts:
-            for m in pdf.itertuples(index=False):
-                if (m.bucket, m.base_id) != key:
-                    if base and flush and (rows := base.ended()):
-                        yield frame(rows, *key)
-                    key, base = (m.bucket, m.base_id), Base(rules)
-                if rows := base.take(m):
-                    yield frame(rows, *key)
-        if base and flush and (rows := base.ended()):
-            yield frame(rows, *key)
-
-    order = ["bucket", "base_id", "arrival"]
-    return messages.select(NAMES).repartition("bucket", "base_id").sortWithinPartitions(order).mapInPandas(fold, HEARD)
+    return folded(messages.select(NAMES), ["bucket", "base_id"], ["arrival"], lambda: Base(rules), HEARD, flush)
 
 
 def results(heard: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def paths_to(edges: DataFrame, end: str) -> DataFrame:
 
 
 def quaternion(r: np.ndarray) -> np.ndarray:
-    """Of a rotation, scalar last, its largest part first found so that no division is by a small number."""
+    """Of a rotation, scalar last, with its largest part positive."""
     k = np.array([
         [r[0, 0] - r[1, 1] - r[2, 2], 0, 0, 0],
         [r[1, 0] + r[0, 1], r[1, 1] - r[0, 0] - r[2, 2], 0, 0],
@@ -39,7 +39,7 @@ def quaternion(r: np.ndarray) -> np.ndarray:
         [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1], np.trace(r)],
     ])
     q = np.linalg.eigh((k + np.tril(k, -1).T) / 3)[1][:, -1]
-    return q if q[3] >= 0 else -q
+    return q if q[np.argmax(np.abs(q))] > 0 else -q
 
 
 def rotation(q: np.ndarray) -> np.ndarray:

@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from convoke.operators.listening import HEARD, NAMES, Base, Memory, Rules, Voices, frame
+from convoke.operators.folds import table
+from convoke.operators.listening import HEARD, NAMES, Base, Memory, Rules, Voices
 
 #: Typed state is kept in RocksDB; a session that runs these streams must be told so before they start.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
+COLUMNS = [c.strip().split(" ")[0] for c in HEARD.split(", ")]
+
+
 class Held(Memory):
     """Open turns in state: one entry a turn, one a piece of signal, so that a turn that goes on writes its new piece only."""
 
@@ -89,14 +93,14 @@ class Listener(StatefulProcessor):
         if base.last is not None:
             self.handle.registerTimer(int((base.last + self.rules.idle) * 1000))
         if out:
-            yield frame(out, *key)
+            yield table([{"bucket": key[0], "base_id": key[1]} | r for r in out], COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         base = self._base()
         out = base.ended()
         self._keep(base)
         if out:
-            yield frame(out, *key)
+            yield table([{"bucket": key[0], "base_id": key[1]} | r for r in out], COLUMNS)
 
     def close(self) -> None:
         pass
