@@ -25,6 +25,12 @@ def weighted(similarity: Column, rms: Column, rms_bound: float) -> Column:
     return F.least(similarity * F.ln(rms) / F.ln(F.lit(float(rms_bound))), F.lit(1.0))
 
 
+def stand_in(rms: Column, peak: Column, rms_bound: float, peak_bound: float, bound: float) -> Column:
+    """What is shown for an unknown speaker without a similarity: the bound times how loud the segment is against the
+    level that kept it back, its peak's if its rms is loud enough."""
+    return bound * F.when(rms <= rms_bound, rms / rms_bound).otherwise(peak / peak_bound)
+
+
 def reconciled(signals: Column, post: bool = False) -> Column:
     """What one or two separated signals say: an array of struct(speaker, similarity, duration).
 

@@ -38,6 +38,13 @@ def per_session(movement: DataFrame, rows: DataFrame, total: str, mean: str) ->
     return m.join(n, "bucket").select("bucket", total, (F.col(total) / F.col("n")).alias(mean))
 
 
+def session_movement(positions: DataFrame, position_rows: DataFrame, rotations: DataFrame, rotation_rows: DataFrame, clip: bool = False) -> DataFrame:
+    """How much each session moved and turned: bucket, stm and nstm, srm and nsrm; null where it has no such rows."""
+    moved = per_session(translate_movement(positions), position_rows, "stm", "nstm")
+    turned = per_session(rotate_movement(rotations, clip), rotation_rows, "srm", "nsrm")
+    return moved.join(turned, "bucket", "full")
+
+
 def heat_map(positions: DataFrame, bins: int = 50) -> DataFrame:
     """Sightings by square bins of (z, x) for each session, candidate badges pooled: bucket, zi, xi, n.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoke.functions import vectors as V
 from convoke.functions.gates import kept
+from convoke.operators.folds import folded
+from convoke.operators.listening import Voices
 
 #: Speakers (a vector each) that are sent to every task; a larger library is dealt out in blocks instead.
 LIBRARY = 20_000
@@ -59,25 +61,37 @@ def updated(library: DataFrame, probes: DataFrame, threshold: float = 0.6) -> Da
     Each probe changes what the next is compared with, so this is one ordered fold over the library's state; run it for
     each library (column ``library`` in both) on its own."""
     shape = "library string, speaker string, centroid array<double>, n long"
+    known = library.select("library", F.lit(None).cast("long").alias("order"), "speaker", F.col("centroid").alias("v"), "n")
+    asked = probes.select("library", F.col("vec_id").alias("order"), F.lit(None).cast("string").alias("speaker"), "v", F.lit(None).cast("long").alias("n"))
+    return folded(known.unionByName(asked), ["library"], ["order", "speaker"], lambda: Updates(threshold), shape, end=True)
 
-    def fold(key: tuple, lib: pd.DataFrame, pro: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        if not len(lib):
-            return pd.DataFrame({"library": [], "speaker": [], "centroid": [], "n": []})
-        lib = lib.sort_values("speaker")
-        c, n = np.stack(lib["centroid"].to_numpy()).astype(float), lib["n"].to_numpy().copy()
-        for v in pro.sort_values("vec_id")["v"]:
-            v = np.asarray(v, float)
-            u = v / np.linalg.norm(v)
-            s = c @ u
-            k = int(s.argmax())
-            if s[k] > threshold:
-                c[k] = (c[k] * n[k] + u) / (n[k] + 1)
-                n[k] += 1
-        return pd.DataFrame({"library": key[0], "speaker": lib["speaker"].to_numpy(), "centroid": list(c), "n": n})
-
-    return library.groupBy("library").cogroup(probes.groupBy("library")).applyInPandas(fold, shape)
+
+class Updates:
+    """A library while probes come: first its voices, then one probe after another."""
+
+    def __init__(self, threshold: float):
+        self.voices, self.threshold = Voices(), threshold
+
+    def take(self, m) -> list[dict]:
+        if m.speaker is not None:
+            self.voices.known[m.speaker] = (np.asarray(m.v, float), int(m.n))
+        elif self.voices.known:
+            self.voices.recognised(m.v, self.threshold)
+        return []
+
+    def ended(self) -> list[dict]:
+        return [{"speaker": name, "centroid": c.tolist(), "n": n} for name, (c, n) in self.voices.known.items()]
+
+
+def loaded(recordings: DataFrame) -> DataFrame:
+    """The voices of a folder of recordings (speaker, place in the listing, v; null where none could be made): speaker,
+    centroid, n.
+
+    Loading stops at the first recording without a vector: its speaker and all that are listed later are missing."""
+    stop = recordings.where("v is null").groupBy().agg(F.min("place").alias("lost"))
+    last = recordings.groupBy("speaker").agg(F.max("place").alias("last"))
+    whole = last.join(F.broadcast(stop), how="left", on=F.col("last") >= F.col("lost")).where("lost is null")
+    return centroids(recordings.join(whole.select("speaker"), "speaker", "left_semi"))
 
 
 def updated_at_once(library: DataFrame, probes: DataFrame, library_size: int, threshold: float = 0.6) -> DataFrame:

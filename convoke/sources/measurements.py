@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,39 @@ def widened(narrow: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def session_scan(rows: DataFrame, bucket: str, key: str = "segment_start_time") -> DataFrame:
-    """A session's rows from its start on, in order; both filters reach the scan."""
-    return rows.where(F.col("bucket") == bucket).orderBy(key, "_time")
+    """A session's rows from its start on, in order. The bucket picks the folder, and the start that its name tells is a
+    constant before the plan is made: both filters reach the scan. A name without a start gives no bound."""
+    start = F.coalesce(session_start(F.lit(bucket)), F.lit("0001-01-01").cast("timestamp"))
+    return rows.where((F.col("bucket") == bucket) & (F.col("_time") >= start)).orderBy(key, "_time")
+
+
+def session_rows(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Rows of some sessions (bucket), each from its own start on. Folders of other sessions aren't read: the buckets,
+    broadcast by their size, prune them while the query runs."""
+    own = buckets.select("bucket", session_start(F.col("bucket")).alias("_start")).distinct()
+    return rows.join(own, "bucket").where(F.col("_start").isNull() | (F.col("_time") >= F.col("_start"))).drop("_start")
+
+
+def at_segments(rows: DataFrame, asked: DataFrame, horizon_s: int = 20) -> DataFrame:
+    """Of each asked segment (bucket, segment_start_time) the first row with just that time, none if it was written more
+    than the horizon before it."""
+    near = asked.select("bucket", "segment_start_time").distinct()
+    own = rows.join(near, ["bucket", "segment_start_time"]).where(F.unix_micros("_time") >= (F.floor("segment_start_time") - horizon_s) * 1_000_000)
+    return own.groupBy("bucket", "segment_start_time").agg(F.min_by(F.struct("*"), "_time").alias("row")).select("row.*")
+
+
+def as_of(asked: DataFrame, rows: DataFrame, time: str, horizon: float, *keys: str) -> DataFrame:
+    """asked with the latest row of its keys at its time or before, as a struct ``row``: null if that is more than the
+    horizon ago or there is none.
+
+    Both sides go through one sort of their keys by time (rows first where times tie), and each asked row takes the last
+    row before it. A key with very many rows is one sorted pass over them, which spills; no pair of rows is formed."""
+    both = rows.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_side"), F.struct("*").alias("row")).unionByName(
+        asked.select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_side"), F.struct("*").alias("_asked")), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_at", "_side")
+    last = F.last("row", ignorenulls=True).over(w)
+    out = both.withColumn("row", last).where("_side = 1")
+    return out.select("_asked.*", F.when(F.col(f"_asked.{time}") - F.col(f"row.{time}") <= horizon, F.col("row")).alias("row"))
 
 
 def latest(rows: DataFrame, now: Column, horizon_s: int = 20) -> DataFrame:
