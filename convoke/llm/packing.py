@@ -9,6 +9,7 @@ the search ends. What is still underfull in its lot is dealt into lots again wit
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -23,6 +24,11 @@ from pyspark.sql import functions as F
 from .common import held, keyed, table, written
 
 VOCABULARY, SEQUENCE, END = "word_bpe_49k.json", 2048, 0
+#: Signs that end many words.
+SIGNS = (".", ",")
+#: Words of letters that the library keeps whole when it normalises them (Latin ones but for the dotted capital I, whose
+#: lower case is two characters), and how many of them it gets at once.
+PLAIN, TOGETHER = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch, 200
 #: Pieces that one task packs together, about.
 LOT = 50_000
 #: Distinct words that a worker remembers; it forgets them all beyond that.
@@ -37,6 +43,7 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {"": b""}
+        self.parted: dict[str, bool] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -49,20 +56,46 @@ class WordIds:
 
     def learn(self, new: set[str]) -> None:
         """Ids of new words. The tokenizer lower-cases and cuts signs off letters, so most words share a plainer one's."""
+        self.look_at({w[-2] for w in new if w[-1:] in SIGNS and w[-2:-1].isalpha()} - self.parted.keys())
         plain = {w: self.parts(w) for w in new}
-        cores = list(({core for core, _ in plain.values()} | {".", ","}) - self.words.keys())
-        for core, found in zip(cores, self.library.encode_batch_fast(cores, add_special_tokens=False), strict=True):
-            self.words[core] = array("I", found.ids).tobytes()
+        cores = list(({core for core, _ in plain.values()} | set(SIGNS)) - self.words.keys())
+        for core, ids in zip(cores, self.ids(cores), strict=True):
+            self.words[core] = ids
         for word, (core, sign) in plain.items():
             self.words[word] = self.words[core] + self.words[sign]
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """A word with the same ids in lower case (where that is plain), and the full stop or comma after its letters.
-
-        Only after a letter of ASCII: others may be taken apart when the library normalises the word, so that the sign
-        follows a mark."""
-        sign = word[-1] if word[-1] in ".," and word[-2:-1].isalpha() and word[-2:-1].isascii() else ""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Plain words go to the library many in a text, as its tokens tell which word they are of."""
+        plain = [k for k, x in enumerate(texts) if PLAIN(x)]
+        out: list[bytes] = [b""] * len(texts)
+        rest = [k for k, x in enumerate(texts) if not PLAIN(x)]
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for group, found in zip(groups, self.library.encode_batch([" ".join(texts[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+            ids, word = array("I", found.ids).tobytes(), np.array(found.word_ids)
+            cuts = np.flatnonzero(np.diff(word, prepend=-1)).tolist()
+            if len(cuts) != len(group):
+                rest += group
+                continue
+            for k, low, high in zip(group, cuts, [*cuts[1:], len(word)], strict=True):
+                out[k] = ids[4 * low : 4 * high]
+        for k, found in zip(rest, self.library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = array("I", found.ids).tobytes()
+        return out
+
+    def look_at(self, letters: set[str]) -> None:
+        """Which letters are cut from a sign after them: those of some scripts are taken apart when the library normalises
+        a word, so that the sign follows a mark and stays with it."""
+        letters = sorted(letters)
+        forms = [before + c for c in letters for before in ("", "a")]
+        every = self.ids([*SIGNS, *forms, *(f + sign for f in forms for sign in SIGNS)])
+        signs, alone, signed = every[: len(SIGNS)], every[len(SIGNS) : len(SIGNS) + len(forms)], every[len(SIGNS) + len(forms) :]
+        same = [all(signed[k * len(SIGNS) + j] == x + y for j, y in enumerate(signs)) for k, x in enumerate(alone)]
+        self.parted |= {c: same[2 * k] and same[2 * k + 1] for k, c in enumerate(letters)}
+
+    def parts(self, word: str) -> tuple[str, str]:
+        """A word with the same ids in lower case (where that is plain), and the full stop or comma after its letters, if
+        it is cut off there."""
+        sign = word[-1] if word[-1] in SIGNS and self.parted.get(word[-2:-1], False) else ""
         core = word[: len(word) - len(sign)]
         return (core.lower() if core.isascii() and "<|" not in core else core), sign
 
