@@ -1,6 +1,6 @@
 """Exact dedup: a cuckoo-filter index of live digests over bucketed content.
 
-Digests of the normalised texts are dealt to shards by their first bits, after each task has reduced its own rows to one
+Digests of the normalised texts are dealt to shards by their hash, after each task has reduced its own rows to one
 claim a digest. A shard keeps a cuckoo filter (two buckets of four 16-bit fingerprints for each digest) in front of the
 full digests, stored by bucket. A claim that the filter doesn't know is inserted; a hit is verified against the stored
 digests of its buckets, and if the new claim is the better one the old entry is deleted and the new one inserted. When
@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE, table
+from .common import NULL_ID, SPACE, table, written
 
 SLOTS, KICKS = 4, 64
 
@@ -108,21 +108,24 @@ class CuckooIndex:
                 yield digest, value
 
 
-def claim(index: CuckooIndex, digest: bytes, length: int, doc: int, n: int) -> None:
-    """Enters n rows with a digest, of which the best has ``length`` code points and the id ``doc``."""
+def claim(index: CuckooIndex, digest: bytes, length: int, doc: int, n: int, ties: int) -> None:
+    """Enters n rows with a digest, of which ``ties`` are the best: with ``length`` code points and the id ``doc``."""
     entry = index.find(digest)
     if entry is None:
-        index.insert(digest, (length, doc, n))
+        index.insert(digest, (length, doc, n, ties))
         return
-    old_length, old_doc, old_n = entry[1]
+    old_length, old_doc, old_n, old_ties = entry[1]
     if (length, -doc) > (old_length, -old_doc):
         index.delete(digest)
-        index.insert(digest, (length, doc, old_n + n))
+        index.insert(digest, (length, doc, old_n + n, ties))
     else:
-        entry[1] = (old_length, old_doc, old_n + n)
+        entry[1] = (old_length, old_doc, old_n + n, old_ties + ties * ((length, doc) == (old_length, old_doc)))
 
 
-CLAIMS = "digest binary, length long, doc long, n long"
+CLAIMS = "digest binary, length long, doc long, n long, ties long"
+
+#: Texts with over 1/HOT of the rows each are fewer than HOT: so many are broadcast. Claims (some 400 bytes each) of a shard.
+HOT, SHARD = 65_536, 200_000
 
 
 def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,16 +140,19 @@ def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values.append(value)
     if digests:
         cols = [pa.array(x, pa.int64()) for x in zip(*values, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *cols], names=["digest", "length", "doc", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *cols], names=["digest", "length", "doc", "n", "ties"])
 
 
 def groups(documents: DataFrame) -> DataFrame:
     """One row per document: its columns but text, then keep_id, group_size, kept and text_sha256.
 
     Texts are equal when equal without the characters space and tab to carriage return; a null text is empty. Of equal
-    texts the row with the most code points stays, of those the one with the smallest doc_id (null before all others).
-    Rows that tie in both, repeated ones for example, are all marked as kept. Other columns pass through unless named
-    as one of the new ones, which then replaces it."""
+    texts the row with the most code points stays, of those the one with the smallest doc_id (null before all others), and
+    of rows that tie in both the one whose text, then whose other columns come first by their hash: one row a group. Other
+    columns pass through unless named as one of the new ones, which then replaces it.
+
+    The groups' claims are written down; the few texts that hold very many rows each are broadcast, so that their rows
+    stay where they are."""
     new = ["keep_id", "group_size", "kept", "text_sha256"]
     text = F.coalesce(F.col("text"), F.lit(""))
     others = F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != "text")).alias("others")
@@ -154,15 +160,22 @@ def groups(documents: DataFrame) -> DataFrame:
         others,
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
         F.length(text).cast("long").alias("length"),
+        F.xxhash64(text).alias("own"),
         F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("digest"),
     )
-    claims = rows.select("digest", "length", "doc", F.lit(1).cast("long").alias("n")).mapInArrow(indexed, CLAIMS)
-    best = claims.repartition("digest").mapInArrow(indexed, CLAIMS)
-    best = best.select("digest", F.col("length").alias("most"), F.col("doc").alias("keep"), F.col("n").alias("group_size"))
-    kept = (F.col("length") == F.col("most")) & (F.col("doc") == F.col("keep"))
-    out = rows.join(best, "digest").select(
-        "others", F.when(F.col("keep") != NULL_ID, F.col("keep")).alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    one = F.lit(1).cast("long")
+    claims = rows.select("digest", "length", "doc", one.alias("n"), one.alias("ties")).mapInArrow(indexed, CLAIMS)
+    shards = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + documents.count() // SHARD)
+    best = claims.repartition(shards, "digest").mapInArrow(indexed, CLAIMS)
+    best = written(best.select("digest", F.col("length").alias("most"), F.col("doc").alias("keep"), F.col("n").alias("group_size"), "ties"), "digests")
+    bound = (best.agg(F.sum("group_size")).first()[0] or 0) // HOT
+    hot = F.broadcast(best.where(F.col("group_size") > bound))
+    out = rows.join(hot, "digest").unionByName(rows.join(hot.select("digest"), "digest", "left_anti").join(best.where(F.col("group_size") <= bound), "digest"))
+    out = out.withColumn("kept", (F.col("length") == F.col("most")) & (F.col("doc") == F.col("keep")))
+    # Rows that tie (they repeat a doc_id) are few; only they are ranked.
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("own", F.xxhash64("others"))) == 1
+    out = out.where("not kept or ties = 1").unionByName(out.where("kept and ties > 1").withColumn("kept", first))
+    out = out.select("others", F.when(F.col("keep") != NULL_ID, F.col("keep")).alias("keep_id"), "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
     return out.select(*(F.col(f"others.`{c}`") for c in documents.columns if c != "text" and c.lower() not in new), *new)
 
 
@@ -177,7 +190,8 @@ with d as (
   from documents),
 w as (
   select doc_id, norm, count(*) over (partition by norm) as group_size,
-         first_value(doc_id) over (partition by norm order by length(text) desc, doc_id) as keep_id
+         first_value(doc_id) over (partition by norm order by length(text) desc, doc_id) as keep_id,
+         row_number() over (partition by norm order by length(text) desc, doc_id, text) = 1 as kept
   from d)
-select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from w
+select doc_id, keep_id, group_size, kept, sha256(norm) as text_sha256 from w
 """
