@@ -97,13 +97,19 @@ def not_a_knot(y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The cubic spline through values at equal steps on [0, 1], third derivatives equal at the knots next to the ends."""
     n = len(y)
     h = 1 / (n - 1)
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = 1, 4, 1
-        b[i] = 6 * (y[i - 1] - 2 * y[i] + y[i + 1]) / h**2
-    a[0, :3] = a[-1, -3:] = 1, -2, 1
-    m = np.linalg.solve(a, b)
+    # With the end conditions put in, the equations of the second and the last but one moment stand alone; a sweep up
+    # and one down solve those between.
+    b = (6 * (y[:-2] - 2 * y[1:-1] + y[2:]) / h**2).tolist()
+    inner = [b[0] / 6, *b[1:-1], b[-1] / 6] if n > 4 else [x / 6 for x in b]
+    if n > 4:
+        share, carried = [0.0], [inner[0]]
+        for x in inner[1:-1]:
+            d = 4 - share[-1]
+            carried.append((x - carried[-1]) / d)
+            share.append(1 / d)
+        for i in range(n - 4, 0, -1):
+            inner[i] = carried[i] - share[i] * inner[i + 1]
+    m = np.array([2 * inner[0] - inner[1], *inner, 2 * inner[-1] - inner[-2]])
     k = np.minimum((at / h).astype(int), n - 2)
     u, v = at - k * h, (k + 1) * h - at
     return (m[k] * v**3 + m[k + 1] * u**3) / (6 * h) + (y[k] / h - m[k] * h / 6) * v + (y[k + 1] / h - m[k + 1] * h / 6) * u

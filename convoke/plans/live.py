@@ -119,6 +119,9 @@ QUERIES = {
     )
 }
 
+#: Rows of three bases in order of arrival, and a segment list after the latest row joined it, opened one or passed by.
+MESSAGE = "{'b': base_id, 'a': arrival}"
+NEAR = "(abs(t - x.s) <= 900 and not list_contains(list_transform(x.ms, lambda m: m.b), base_id))"
 STEP = "case when {1} then list_transform({0}, lambda x, i: {2}) else {0} end"
 
 ORACLE_SQL = {
@@ -159,4 +162,38 @@ ORACLE_SQL = {
         done as (select * from walk where r = (select max(r) from probes where probes.k = walk.k)),
         each as (select k, unnest(s) as speaker, unnest(c) as c, unnest(n) as n from done)
         select 'l' || k as library, speaker, unnest(range(64))::int as i, round(unnest(c), 6) as x, n from each""",
+    "reconciled_signals": """with e as (select event_id // 2 as pair, event_id, case event_type when 'error' then 'silent' when 'signup' then 'unknown' else 'spk' || (user_id % 5) end as speaker,
+        value as duration from events),
+        p as (select a.pair, a.speaker as a, b.speaker as b, a.speaker in ('silent', 'unknown') as na, b.speaker in ('silent', 'unknown') as nb from e a left join e b on a.pair = b.pair and a.event_id < b.event_id
+        where a.event_id = (select min(event_id) from e c where c.pair = a.pair)),
+        r as (select pair, case when b is null or a = b then [a] when not na and not nb then [a, b] when not na then [a] when not nb then [b] else ['unknown'] end as s from p)
+        select pair, array_to_string(s, ',') as speakers, len(list_filter(s, lambda x: x not in ('silent', 'unknown')))::int as n_real from r""",
+    "trajectory_pieces": f"""with recursive {PLACES}, g as (select *, case when t - lag(t) over w > 3600 then 1 else 0 end as cut from p window w as (partition by bucket, badge order by t, event_id)),
+        h as (select *, sum(cut) over (partition by bucket, badge order by t, event_id rows unbounded preceding) as island from g),
+        i as (select bucket, badge, island::int as k, min(t) as a, max(t) as b, count(*) as n from h group by all),
+        walk as (select bucket, badge, -1 as k, null::double as wait, 0::bigint as waiting, null::double as start, null::double as finish, null::bigint as points from (select distinct bucket, badge from i)
+        union all select w.bucket, w.badge, i.k, case when i.b = i.a and w.wait is null then i.a end, case when i.b = i.a and w.wait is null then i.n else 0 end,
+        case when i.b > i.a or w.wait is not null then coalesce(w.wait, i.a) end, case when i.b > i.a or w.wait is not null then i.b end, case when i.b > i.a or w.wait is not null then w.waiting + i.n end
+        from walk w join i on i.bucket = w.bucket and i.badge = w.badge and i.k = w.k + 1)
+        select bucket, badge, (row_number() over (partition by bucket, badge order by start))::int as piece, round(start, 3) as start, round(finish, 3) as finish, points from walk where points is not null""",
+    "aligned_segments": f"""with recursive m as (select 'session_' || strftime(ts, '%Y-%m-%d') as bucket, event_id as arrival, 'b' || (user_id % 3) as base_id, epoch_us(ts) / 1e6 as t,
+        row_number() over (partition by strftime(ts, '%Y-%m-%d') order by event_id) as r from events),
+        walk as (select bucket, r, floor(t) as latest, [{{'s': floor(t), 'ms': [{MESSAGE}]}}] as held, [{{'s': floor(t), 'ms': [{MESSAGE}]}}][1:0] as done from m where r = 1
+        union all select bucket, r, latest, case when full_at > 0 then list_concat(held[1 : full_at - 1], held[full_at + 1 :]) else held end, case when full_at > 0 then list_append(late, held[full_at]) else late end
+        from (select *, case when at_x > 0 and len(held[at_x].ms) >= 3 then at_x else 0 end as full_at
+        from (select bucket, r, late, case when near_at is null and latest <= t then t else latest end as latest, case when near_at is not null then near_at when latest > t then 0 else len(open) + 1 end as at_x,
+        case when near_at is not null then list_transform(open, lambda x, i: case when i = near_at then {{'s': x.s, 'ms': list_append(x.ms, {MESSAGE})}} else x end)
+        when latest > t then open else list_append(open, {{'s': t, 'ms': [{MESSAGE}]}}) end as held
+        from (select *, list_position(list_transform(open, lambda x: {NEAR} and x.s = list_min(list_transform(list_filter(open, lambda x: {NEAR}), lambda x: x.s))), true) as near_at
+        from (select m.bucket, m.r, m.t, m.base_id, m.arrival, w.latest, list_filter(w.held, lambda x: m.t - x.s > 1800) as late, list_filter(w.held, lambda x: m.t - x.s <= 1800) as open
+        from walk w join m on m.bucket = w.bucket and m.r = w.r + 1) a) b) c) d),
+        each as (select bucket, unnest(done) as x from walk), ms as (select bucket, x.s as segment, unnest(x.ms) as m from each)
+        select bucket, segment, m.b as base_id, m.a as arrival from ms""",
+    "drift_free_pairs": f"""with recursive {PLACES}, v as (select bucket || '/' || badge as pair, row_number() over (partition by bucket, badge order by event_id) as r, [x % 0.3, y % 0.3, z % 0.3, y % 5] as v from p),
+        walk as (select pair, r, v as total, 1::bigint as n, 0::bigint as rejected from v where r = 1
+        union all select pair, r, case when out then total else list_transform(total, lambda x, i: x + v[i]) end, case when out then n else n + 1 end, case when out then rejected + 1 else rejected end
+        from (select v.pair, v.r, v.v, w.total, w.n, w.rejected,
+        sqrt((v.v[1] - w.total[1] / w.n) ^ 2 + (v.v[2] - w.total[2] / w.n) ^ 2 + (v.v[3] - w.total[3] / w.n) ^ 2) > 0.1 or abs(v.v[4] - w.total[4] / w.n) > 3 as out
+        from walk w join v on v.pair = w.pair and v.r = w.r + 1) s)
+        select w.pair, n, rejected, round(total[1] / n, 6) as x, round(total[2] / n, 6) as y, round(total[3] / n, 6) as z from walk w join (select pair, max(r) as r from v group by pair) using (pair, r)""",
 }
