@@ -9,6 +9,7 @@ the search ends. What is still underfull in its lot is dealt into lots again wit
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -39,6 +40,8 @@ class WordIds:
     """Ids of texts by a tokenizers file whose pre-tokenizer drops white space, so that words can be looked up."""
 
     def __init__(self, path: str):
+        # Threads of its own would only wait beside the other tasks, and cost time while they do.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -47,7 +50,7 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words} - self.words.keys()
+        new = set().union(*split).difference(self.words)
         if len(self.words) + len(new) > REMEMBERED:
             self.words = {"": b""}
             new = {w for words in split for w in words} - {""}
@@ -58,11 +61,11 @@ class WordIds:
         """Ids of new words. The tokenizer lower-cases and cuts signs off letters, so most words share a plainer one's."""
         self.look_at({w[-2] for w in new if w[-1:] in SIGNS and w[-2:-1].isalpha()} - self.parted.keys())
         plain = {w: self.parts(w) for w in new}
-        cores = list(({core for core, _ in plain.values()} | set(SIGNS)) - self.words.keys())
-        for core, ids in zip(cores, self.ids(cores), strict=True):
-            self.words[core] = ids
+        cores = list({core for core, _ in plain.values()}.union(SIGNS).difference(self.words))
+        self.words.update(zip(cores, self.ids(cores), strict=True))
+        words = self.words
         for word, (core, sign) in plain.items():
-            self.words[word] = self.words[core] + self.words[sign]
+            words[word] = words[core] + words[sign] if sign else words[core]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Plain words go to the library many in a text, as its tokens tell which word they are of."""
@@ -97,7 +100,7 @@ class WordIds:
         it is cut off there."""
         sign = word[-1] if word[-1] in SIGNS and self.parted.get(word[-2:-1], False) else ""
         core = word[: len(word) - len(sign)]
-        return (core.lower() if core.isascii() and "<|" not in core else core), sign
+        return (core.lower() if core.isascii() and "<|" not in core or PLAIN(core) else core), sign
 
 
 def pieces(documents: DataFrame, sequence: int = SEQUENCE, end: int = END, vocabulary: str = VOCABULARY) -> DataFrame:
