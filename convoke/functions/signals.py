@@ -45,13 +45,20 @@ def shifted(x: Column, n: int) -> Column:
     return F.concat(F.slice(x, F.size(x) - k + 1, k), F.slice(x, F.lit(1), F.size(x) - k))
 
 
-def cut(rows: DataFrame, rate: int, window_ms: int, step_ms: int | None = None) -> DataFrame:
-    """Windows of the signal in column x: all other columns, no, x. What doesn't fill a window at the end is left out;
-    a signal shorter than a window has none."""
+def levelled(x: Column, db: float = -20.0) -> Column:
+    """To a level in decibels of its root mean square; silence stays as it is."""
+    scale = F.coalesce(F.lit(10 ** (db / 20)) / F.nullif(rms(x), F.lit(0.0)), F.lit(1.0))
+    return F.transform(x, lambda v: v * scale)
+
+
+def cut(rows: DataFrame, rate: int, window_ms: int, step_ms: int | None = None, db: float | None = None) -> DataFrame:
+    """Windows of the signal in column x: all other columns, no, x, each brought to a level (db) if one is given. What doesn't
+    fill a window at the end is left out; a signal shorter than a window has none."""
     width, step = rate * window_ms // 1000, rate * (step_ms or window_ms) // 1000
     n = F.floor((F.size("x") - width) / step).cast("int") + 1
     each = rows.where(F.size("x") >= width).withColumn("no", F.explode(F.sequence(F.lit(0), n - 1)))
-    return each.withColumn("x", F.slice("x", F.col("no") * step + 1, width))
+    each = each.withColumn("x", F.slice("x", F.col("no") * step + 1, width))
+    return each if db is None else each.withColumn("x", levelled(F.col("x"), db))
 
 
 def joined_ranges(x: Column, ranges: Column, rate: int) -> Column:

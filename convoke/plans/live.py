@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from convoke.functions import signals
 from convoke.functions import vectors as V
 from convoke.operators import listening, motion, network, pairing, recognition
 from convoke.plans.sessions import PLACES, rounded
@@ -68,6 +69,28 @@ def looks_after_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.looked_so_far(messages, 20.0, -0.7)
 
 
+def tag_gazes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sighting of an hour looks at which, by orientations as cameras detect them."""
+    s = camera_sightings(spark, sf_dir)
+    window = F.concat_ws("/", "pair", F.floor(F.col("time") / 3600).cast("string"))
+    rows = network.gaze_rows(s.select(window.alias("window"), F.col("arrival").cast("string").alias("tag"), "r", "t"), detected=True)
+    return rounded(network.looks_at(rows, 5.0, -0.7), "score", digits=5)
+
+
+def direct_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transformation that each pairing within an hour gives on its own."""
+    p = pairing.paired(camera_sightings(spark, sf_dir), 3600.0)
+    r, t = V.direct(*(F.col(c) for c in ("rm", "tm", "ra", "ta")))
+    out = p.select("pair", "tag", "arrival", r.alias("r"), t.alias("t"))
+    return out.select("pair", "tag", "arrival", F.round(V.trace(F.col("r")), 5).alias("trace"), *(F.round(F.col("t")[i], 5).alias(a) for i, a in enumerate("xyz")))
+
+
+def levelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-overlapping windows of all vectors as signals, each at -20 decibels."""
+    w = signals.cut(adapters.vectors(spark, sf_dir).select("vec_id", F.col("v").alias("x")), 1000, 16, 8, db=-20.0)
+    return w.select("vec_id", "no", F.round(F.col("x")[0], 6).alias("first"), F.round(signals.peak(F.col("x")), 6).alias("peak"), F.round(signals.rms(F.col("x")), 6).alias("rms"))
+
+
 def session_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much sessions move and turn, side by side."""
     rows, turns = adapters.badge_translations(spark, sf_dir), adapters.badge_rotations(spark, sf_dir)
@@ -115,7 +138,7 @@ def heard_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        session_rows, places_at_segments, places_as_of, validated_pairs, averaged_pairs, looks_after_messages, session_movement, one_way_badges, voice_updates_in_order, heard_turns,
+        session_rows, places_at_segments, places_as_of, validated_pairs, averaged_pairs, looks_after_messages, tag_gazes, direct_transforms, levelled_windows, session_movement, one_way_badges, voice_updates_in_order, heard_turns,
     )
 }
 
@@ -135,6 +158,18 @@ ORACLE_SQL = {
         window w as (partition by bucket, badge order by event_id rows between unbounded preceding and current row))
         select bucket as pair, badge as tag, event_id as arrival, round(sqrt((o.z + 1 - m.x) ^ 2 + (o.y + 2 - m.y) ^ 2 + (3 - o.x - m.z) ^ 2), 3) as metres,
         round(degrees(acos(greatest(-1, least(1, cos(radians(90 + 10 * (o.y - m.y))))))), 3) as degrees from q where t - m.t <= 3600 and t - o.t <= 3600""",
+    "tag_gazes": f"""with {PLACES}, a as (select *, sin(radians(10 * y)) as s, cos(radians(10 * y)) as c from p),
+        g as (select bucket || '/' || floor(t / 3600)::bigint as w, event_id::varchar as tag, x, z, case when s * x + c * z < 0 then s else -s end as nx, case when s * x + c * z < 0 then c else -c end as nz from a),
+        q as (select a.w as "window", a.tag, b.tag as target, sqrt((a.x - b.x) ^ 2 + (a.z - b.z) ^ 2) as far, a.nx * (a.x - b.x) + a.nz * (a.z - b.z) as dot from g a join g b on a.w = b.w and a.tag <> b.tag)
+        select "window", tag, target, round(dot / far, 5) as score from q where far <= 5 and far > 0 and dot / far < -0.7""",
+    "direct_transforms": f"""with {PLACES}, s as (select *, case event_id % 3 when 0 then {{'t': t, 'x': x, 'y': y, 'z': z}} end as m, case event_id % 3 when 1 then {{'t': t, 'x': x, 'y': y, 'z': z}} end as o from p),
+        q as (select bucket, badge, event_id, t, last_value(m ignore nulls) over w as m, last_value(o ignore nulls) over w as o from s
+        window w as (partition by bucket, badge order by event_id rows between unbounded preceding and current row)),
+        d as (select *, radians(10 * (m.y - o.y)) as d from q where t - m.t <= 3600 and t - o.t <= 3600)
+        select bucket as pair, badge as tag, event_id as arrival, round(1 + 2 * cos(d), 5) as trace, round(m.x - cos(d) * o.x - sin(d) * o.z, 5) as x, round(m.y - o.y, 5) as y, round(m.z + sin(d) * o.x - cos(d) * o.z, 5) as z from d""",
+    "levelled_windows": """with v as (select vec_id, embedding::double[] as v, unnest(range(7)) as no from embeddings), w as (select vec_id, no::int as no, v[no * 8 + 1 : no * 8 + 16] as x from v),
+        l as (select vec_id, no, list_transform(x, lambda y: y * 0.1 / sqrt(list_inner_product(x, x) / 16)) as x from w)
+        select vec_id, no, round(x[1], 6) as first, round(list_max(list_transform(x, lambda y: abs(y))), 6) as peak, round(sqrt(list_inner_product(x, x) / 16), 6) as rms from l""",
     "looks_after_messages": f"""with {PLACES}, g as (select bucket || '/' || floor(t / 3600)::bigint as w, event_id, badge, x, z, cos(radians(y)) as nx, sin(radians(y)) as nz from p),
         h as (select *, lead(event_id) over (partition by w, badge order by event_id) as until from g),
         q as (select a.w, greatest(a.event_id, b.event_id) as arrival, a.badge as tag, b.badge as target, a.x - b.x as dx, a.z - b.z as dz, a.nx, a.nz

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convoke.functions import gates
+from convoke.functions import gates, signals
+from convoke.functions import vectors as V
 from convoke.operators import network, recognition
 from convoke.sources import measurements as M
 from convoke.sources import recordings as R
@@ -146,6 +147,24 @@ def test_small_forms(spark):
     assert [round(r.w, 6) for r in quiet] == [round(0.5 * np.log(0.1) / np.log(0.2), 6), round(0.5 * np.log(0.4) / np.log(0.2), 6)]
 
 
+def test_faces_and_signals(spark):
+    right, turned = [[1.0, 0.0, 0.6], [0.0, 1.0, 0.0], [0.0, 0.0, 0.8]], [[1.0, 0.0, -0.6], [0.0, 1.0, 0.0], [0.0, 0.0, -0.8]]
+    df = spark.createDataFrame([(1, right), (2, turned)], "i int, r array<array<double>>").withColumn("t", F.lit([0.0, 1.0, 2.0]))
+    normal, mended = V.facing(F.col("r"), F.col("t"))
+    got = {r.i: (r.n, r.m) for r in df.select("i", normal.alias("n"), mended.alias("m")).collect()}
+    # The axis that points to the camera is the face's own direction, and the orientation is turned back.
+    assert got[1] == ([-0.6, -0.0, -0.8], right) and got[2] == ([-0.6, 0.0, -0.8], [[1.0, 0.0, 0.6], [0.0, 1.0, -0.0], [0.0, 0.0, 0.8]])
+    rows = {r.i: (r.x, r.z, round(r.nx, 9), round(r.nz, 9)) for r in network.gaze_rows(df, detected=True).collect()}
+    assert rows[1] == rows[2] == (0.0, 2.0, -0.6, -0.8)
+    assert {r.i: round(r.nx, 9) for r in network.gaze_rows(df).collect()} == {1: -0.6, 2: 0.6}
+    x = spark.createDataFrame([([16384, -32768, 0], [1.5, -0.25, -2.0])], "a array<int>, b array<double>")
+    assert tuple(x.select(signals.to_float(F.col("a")), signals.to_int16(F.col("b"))).first()) == ([0.5, -1.0, 0.0], [32767, -8191, -32767])
+    part = spark.createDataFrame([([float(i) for i in range(10)], [(0.0, 0.2), (0.5, 0.8)])], "x array<double>, r array<struct<start: double, end: double>>")
+    assert part.select(signals.joined_ranges(F.col("x"), F.col("r"), 10).alias("y")).first().y == [0.0, 1.0, 5.0, 6.0, 7.0]
+    w = signals.cut(spark.createDataFrame([(1, [0.0] * 4 + [3.0, 4.0])], "i int, x array<double>"), 1000, 2, db=0.0).orderBy("no").collect()
+    assert [r.x for r in w[:2]] == [[0.0, 0.0]] * 2 and np.allclose(w[2].x, np.array([3.0, 4.0]) / np.sqrt(12.5))
+
+
 def test_library_loads_up_to_the_first_failure(spark):
     rows = [("ann", 0, [1.0, 0.0]), ("ann", 1, [0.0, 2.0]), ("bob", 2, [3.0, 0.0]), ("cy", 3, [1.0, 0.0]), ("cy", 4, None), ("dee", 5, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "speaker string, place int, v array<double>")
