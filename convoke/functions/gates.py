@@ -59,4 +59,5 @@ def real_only(signals: Column) -> Column:
 
 
 def four_decimals(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", x), F.lit("0"))
+    """Text with four decimals, ``0`` for null (which format_string would write as a word)."""
+    return F.when(x.isNull(), "0").otherwise(F.format_string("%.4f", x))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from convoke.functions import signals, text
+from convoke.functions import gates, signals, text
 from convoke.functions import vectors as V
 from convoke.operators import alignment, motion, network, recognition, speech, transform_paths
 from convoke.streaming import segments as streams
@@ -191,6 +191,11 @@ def test_g11(spark):
     assert network.looks_at(tags(-1.3), 1.2, -0.7).count() == 0 and network.looks_at(tags(0.0), 1.2, -0.7).count() == 0
 
 
+def test_four_decimals(spark):
+    rows = spark.createDataFrame([(0, None), (1, 0.25), (2, 0.12345)], "k int, x double").select("k", gates.four_decimals(F.col("x")).alias("s"))
+    assert [r.s for r in rows.orderBy("k").collect()] == ["0", "0.2500", "0.1235"]
+
+
 def test_signals(spark):
     x = np.sin(np.arange(64) / 5)
     assert np.allclose(signals.resample(x, 1, 1, "fourier"), x) and len(signals.resample(x, 2, 1)) == 32
