@@ -28,11 +28,11 @@ def places_at_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def places_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every purchase the last view or click of its session before it, within twenty minutes."""
+    """For every purchase the last view or click of its session before it, within twenty minutes; of equal times the largest id."""
     s = adapters.sightings(spark, sf_dir).join(adapters.read(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
     asked = s.where("event_type = 'purchase'").select("bucket", F.col("event_id").alias("asked"), F.col("segment_start_time").alias("t"))
     rows = s.where("event_type in ('view', 'click')").select("bucket", "event_id", "badge", F.col("segment_start_time").alias("t"))
-    out = measurements.as_of(asked, rows, "t", 1200.0, "bucket")
+    out = measurements.as_of(asked, rows, "t", 1200.0, "bucket", then="event_id")
     return out.select("asked", F.col("row.event_id").alias("event_id"), F.col("row.badge").alias("badge"))
 
 

@@ -60,15 +60,17 @@ def at_segments(rows: DataFrame, asked: DataFrame, horizon_s: int = 20) -> DataF
     return own.groupBy("bucket", "segment_start_time").agg(F.min_by(F.struct("*"), "_time").alias("row")).select("row.*")
 
 
-def as_of(asked: DataFrame, rows: DataFrame, time: str, horizon: float, *keys: str) -> DataFrame:
+def as_of(asked: DataFrame, rows: DataFrame, time: str, horizon: float, *keys: str, then: str | None = None) -> DataFrame:
     """asked with the latest row of its keys at its time or before, as a struct ``row``: null if that is more than the
-    horizon ago or there is none.
+    horizon ago or there is none. Of rows at one time that with the largest ``then`` (a column of rows) is the latest; without
+    it any of them.
 
     Both sides go through one sort of their keys by time (rows first where times tie), and each asked row takes the last
     row before it. A key with very many rows is one sorted pass over them, which spills; no pair of rows is formed."""
-    both = rows.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_side"), F.struct("*").alias("row")).unionByName(
+    tie = F.col(then) if then else F.lit(0)
+    both = rows.select(*keys, F.col(time).alias("_at"), F.lit(0).alias("_side"), tie.alias("_then"), F.struct("*").alias("row")).unionByName(
         asked.select(*keys, F.col(time).alias("_at"), F.lit(1).alias("_side"), F.struct("*").alias("_asked")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_side")
+    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_then")
     last = F.last("row", ignorenulls=True).over(w)
     out = both.withColumn("row", last).where("_side = 1")
     return out.select("_asked.*", F.when(F.col(f"_asked.{time}") - F.col(f"row.{time}") <= horizon, F.col("row")).alias("row"))

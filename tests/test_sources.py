@@ -70,6 +70,12 @@ def test_as_of(spark):
     assert M.as_of(a.limit(0), r, "t", 1.0, "k").count() == 0 and M.as_of(a, r.limit(0), "t", 1.0, "k").where("row is null").count() == 60
 
 
+def test_as_of_ties(spark):
+    rows = spark.createDataFrame([("a", 1.0 + i // 40, (i * 7) % 40) for i in range(80)], "k string, t double, x int").repartition(4)
+    asked = spark.createDataFrame([("a", 1.0, 0), ("a", 1.5, 1), ("a", 2.0, 2)], "k string, t double, i int")
+    assert [(r.row.t, r.row.x) for r in M.as_of(asked, rows, "t", 20.0, "k", then="x").orderBy("i").collect()] == [(1.0, 39), (1.0, 39), (2.0, 39)]
+
+
 def test_logs_and_upserts(spark, tmp_path):
     rows = spark.createDataFrame([("b1", 5, 1.0, 0), ("b1", 5, 2.0, 1), ("b1", 6, 3.0, 0)], "bucket string, t long, segment_start_time double, _seq int").withColumn("_time", F.timestamp_seconds("t"))
     assert sorted(r.segment_start_time for r in M.upserted(rows).collect()) == [2.0, 3.0]
