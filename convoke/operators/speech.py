@@ -105,10 +105,15 @@ def similarity_grid(rows: DataFrame) -> DataFrame:
 def interactions(rows: DataFrame) -> DataFrame:
     """bucket, src, dst, weight: src speaks in the row after one in which dst speaks; by rows of the session.
 
-    The answer points to what it answers. Sentinels drop out of the lists, their rows stay and count."""
-    p = parsed_recognition(rows).withColumns({"cur": real("speakers"), "next": F.lead(real("speakers")).over(in_order()), "n": F.count(F.lit(1)).over(Window.partitionBy("bucket"))})
-    pairs = p.select("bucket", "n", "cur", F.explode("next").alias("src")).select("bucket", "n", "src", F.explode("cur").alias("dst")).where("src <> dst")
-    return pairs.groupBy("bucket", "src", "dst").agg((F.count(F.lit(1)) / F.first("n")).alias("weight"))
+    The answer points to what it answers. Sentinels drop out of the lists, their rows stay and count. Every entry of a row
+    answers every entry of the row before: entries are counted by speaker first, and speakers meet, not entries."""
+    p = parsed_recognition(rows).withColumn("rn", F.row_number().over(in_order()))
+    each = p.select("bucket", "rn", F.explode_outer(real("speakers")).alias("speaker")).groupBy("bucket", "rn", "speaker").agg(F.count("speaker").alias("c"))
+    held = each.groupBy("bucket", "rn").agg(F.collect_list(F.when(F.col("c") > 0, F.struct("speaker", "c"))).alias("cur"))
+    held = held.withColumns({"next": F.lead("cur").over(Window.partitionBy("bucket").orderBy("rn")), "n": F.count(F.lit(1)).over(Window.partitionBy("bucket"))})
+    pairs = held.select("bucket", "n", "cur", F.explode("next").alias("a")).select("bucket", "n", "a", F.explode("cur").alias("b")).where("a.speaker <> b.speaker")
+    total = F.sum(F.col("a.c") * F.col("b.c"))
+    return pairs.groupBy("bucket", F.col("a.speaker").alias("src"), F.col("b.speaker").alias("dst")).agg((total / F.first("n")).alias("weight"))
 
 
 def first_appearance(rows: DataFrame) -> DataFrame:

@@ -35,6 +35,14 @@ def test_g1(spark):
     assert speech.conversation_metrics(session(spark, [(["unknown2"], [1])])).count() == 0
 
 
+def test_interactions_of_crowded_rows(spark):
+    # 60,000 entries a row: as pairs of entries they would be 3.6 billion for each two rows.
+    crowd, other = (["A"] * 40_000 + ["B"] * 20_000, [1]), (["B"] * 30_000 + ["C", "silent"], [1])
+    e = speech.interactions(session(spark, [crowd, other, crowd, (["silent"], [1]), crowd]))
+    want = {("B", "A"): 12e8, ("C", "A"): 4e4, ("C", "B"): 2e4, ("A", "B"): 12e8, ("A", "C"): 4e4, ("B", "C"): 2e4}
+    assert {(r.src, r.dst): r.weight for r in e.collect()} == {k: c / 5 for k, c in want.items()}
+
+
 def model(rows):
     """Conversation metrics by walking over the rows."""
     rows = [r for r in rows if "unknown" not in json.dumps(r[0])]
