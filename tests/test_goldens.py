@@ -199,6 +199,26 @@ def test_g11(spark):
     assert network.looks_at(tags(-1.3), 1.2, -0.7).count() == 0 and network.looks_at(tags(0.0), 1.2, -0.7).count() == 0
 
 
+def test_looks_in_a_crowded_window(spark):
+    # One window, 20,000 messages of three tags: rows that never held together must not meet, so there is no join.
+    rng, rows, places, want = random.Random(3), [], {}, {}
+    for arrival in range(20_000):
+        tag, x, z = rng.choice("abc"), rng.choice([None, 0.0, 0.5, 1.5, 9.0]), rng.choice([0.0, 0.7, 1.4])
+        nx, nz = rng.choice([(1.0, 0.0), (-1.0, 0.0), (0.0, 1.0)])
+        rows.append(("w", arrival, tag, x, z, nx, nz))
+        places[tag] = x, z, nx, nz
+        for one in places:
+            for two in places:
+                (ax, az, anx, anz), (bx, bz, _, _) = places[one], places[two]
+                if one != two and ax is not None and bx is not None:
+                    far = math.sqrt((ax - bx) ** 2 + (az - bz) ** 2)
+                    if 0 < far <= 1.2 and (anx * (ax - bx) + anz * (az - bz)) / far < -0.7:
+                        want.setdefault((one, two), arrival)
+    out = network.looked_so_far(spark.createDataFrame(rows, "window string, arrival long, tag string, x double, z double, nx double, nz double"), 1.2, -0.7)
+    assert {(r.tag, r.target): r.since for r in out.collect()} == want and len(want) == 6
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_four_decimals(spark):
     rows = spark.createDataFrame([(0, None), (1, 0.25), (2, 0.12345)], "k int, x double").select("k", gates.four_decimals(F.col("x")).alias("s"))
     assert [r.s for r in rows.orderBy("k").collect()] == ["0", "0.2500", "0.1235"]
