@@ -1,9 +1,10 @@
 """Messages of several sources brought together: segments of audio bases, pairs of camera sightings.
 
-The same fold serves batch (one pandas group a session) and stream (state of a session): see streaming.segments."""
+The same fold serves batch (sorted rows, one session's state at a time) and stream (state of a session): see streaming.segments."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import deque
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoke.functions import vectors as V
+from convoke.operators.folds import folded
 
 
 class Segments:
@@ -19,54 +21,93 @@ class Segments:
     A message of time r, in order of arrival: the first opens a segment at its whole second. Segments more than
     ``expiry`` before r are emitted. Among open ones within ``reach`` of r that lack this base it joins the earliest;
     if there is none it opens one at r, unless a later one was opened before, when it is dropped. A segment that holds
-    ``bases`` results is emitted. What is open in the end is lost unless flushed."""
+    ``bases`` results is emitted. What is open in the end is lost unless flushed.
+
+    Segments open at times that never fall, so those that hold the same bases are a list in order of time, in which the
+    expired come first and the earliest in reach is found by bisection: a message costs little however many are open."""
 
     def __init__(self, bases: int, expiry: float = 5.0, reach: float = 3.0):
         self.bases, self.expiry, self.reach = bases, expiry, reach
         self.latest: float | None = None
-        self.open: list[tuple[float, list[tuple]]] = []  # in order of opening: segment time, (base, message) in order
+        self.opened = 0
+        self.held: dict[frozenset, list[tuple[float, int, list[tuple]]]] = {}  # by bases: time, number and messages
+
+    @property
+    def open(self) -> list[tuple[float, list[tuple]]]:
+        """Segment time and its (base, message) in order, in order of opening."""
+        return [(s, ms) for s, _, ms in sorted((x for xs in self.held.values() for x in xs), key=lambda x: x[1])]
+
+    def put(self, s: float, messages: list[tuple], no: int | None = None) -> None:
+        """Opens a segment with these messages, or takes one back in by its number."""
+        if no is None:
+            no, self.opened = self.opened, self.opened + 1
+        insort(self.held.setdefault(frozenset(b for b, _ in messages), []), (s, no, messages), key=lambda x: x[1])
 
     def add(self, base: str, r: float, message: object) -> list[tuple[float, list[tuple]]]:
         """Segments that this message completes or expires."""
         if self.latest is None:
             self.latest = float(int(r))
-            self.open.append((self.latest, [(base, message)]))
+            self.put(self.latest, [(base, message)])
             return []
-        done = [s for s in self.open if r - s[0] > self.expiry]
-        self.open = [s for s in self.open if r - s[0] <= self.expiry]
-        near = [s for s in self.open if abs(r - s[0]) <= self.reach and base not in [b for b, _ in s[1]]]
+        late, near, whose = [], None, None
+        for bases, xs in list(self.held.items()):
+            if r - xs[0][0] > self.expiry:
+                gone = bisect_left(xs, True, key=lambda x: r - x[0] <= self.expiry)
+                late += xs[:gone]
+                del xs[:gone]
+                if not xs:
+                    del self.held[bases]
+                    continue
+            if base not in bases:
+                at = bisect_left(xs, True, key=lambda x: r - x[0] <= self.reach)
+                if at < len(xs) and abs(r - xs[at][0]) <= self.reach and (near is None or xs[at][1] < near[1]):
+                    near, whose = xs[at], (bases, at)
+        done = [(s, ms) for s, _, ms in sorted(late, key=lambda x: x[1])]
         if near:
-            mine = min(near, key=lambda s: s[0])
-            mine[1].append((base, message))
+            bases, at = whose
+            del self.held[bases][at]
+            if not self.held[bases]:
+                del self.held[bases]
+            s, no, ms = near
+            ms.append((base, message))
         elif self.latest > r:
             return done
         else:
-            self.latest = r
-            mine = (r, [(base, message)])
-            self.open.append(mine)
-        if len(mine[1]) >= self.bases:
-            done.append(mine)
-            self.open.remove(mine)
+            self.latest = s = r
+            no, ms = None, [(base, message)]
+        if len(ms) >= self.bases:
+            done.append((s, ms))
+        else:
+            self.put(s, ms, no)
         return done
 
 
 ALIGNED = "bucket string, segment double, base_id string, arrival long"
 
 
+class Alignment:
+    """Segments as the state of a fold over a session's messages."""
+
+    def __init__(self, bases: int, expiry: float, reach: float):
+        self.segments = Segments(bases, expiry, reach)
+
+    def take(self, m) -> list[dict]:
+        return self.rows(self.segments.add(m.base_id, m.record_time, m.arrival))
+
+    def ended(self) -> list[dict]:
+        return self.rows(self.segments.open)
+
+    @staticmethod
+    def rows(segments: list) -> list[dict]:
+        return [{"segment": s, "base_id": b, "arrival": a} for s, ms in segments for b, a in ms]
+
+
 def aligned(messages: DataFrame, bases: int, expiry: float = 5.0, reach: float = 3.0, flush: bool = False) -> DataFrame:
-    """Messages (bucket, arrival, base_id, record_time) with the segment that each ends in; dropped and lost ones go."""
+    """Messages (bucket, arrival, base_id, record_time) with the segment that each ends in; dropped and lost ones go.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("arrival")
-        state, out = Segments(bases, expiry, reach), []
-        for m in pdf.itertuples(index=False):
-            out += state.add(m.base_id, m.record_time, m.arrival)
-        if flush:
-            out += state.open
-        rows = [(pdf["bucket"].iloc[0], s, b, a) for s, held in out for b, a in held]
-        return pd.DataFrame(rows, columns=["bucket", "segment", "base_id", "arrival"])
-
-    return messages.select("bucket", "arrival", "base_id", "record_time").groupBy("bucket").applyInPandas(fold, ALIGNED)
+    One ordered fold a session: a task holds the open segments of one, never all its messages."""
+    rows = messages.select("bucket", "arrival", "base_id", "record_time")
+    return folded(rows, ["bucket"], ["arrival"], lambda: Alignment(bases, expiry, reach), ALIGNED, flush)
 
 
 def in_reach(left: DataFrame, right: DataFrame, time: str, tolerance: float, *keys: str) -> DataFrame:

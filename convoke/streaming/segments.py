@@ -31,10 +31,13 @@ class Aligner(StatefulProcessor):
         segments = Segments(*self.rules)
         if self.latest.exists():
             segments.latest = self.latest.get()[0]
+            held: list[tuple[float, list]] = []
             for segment, no, base, arrival in sorted((tuple(x) for x in self.open.get()), key=lambda x: x[1]) if self.open.exists() else ():
-                if no == len(segments.open):
-                    segments.open.append((segment, []))
-                segments.open[no][1].append((base, arrival))
+                if no == len(held):
+                    held.append((segment, []))
+                held[no][1].append((base, arrival))
+            for segment, messages in held:
+                segments.put(segment, messages)
         out, pdf = [], pd.concat(list(rows)).sort_values("arrival", kind="stable")
         for m in pdf.itertuples(index=False):
             out += segments.add(m.base_id, float(m.record_time), int(m.arrival))

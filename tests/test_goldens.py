@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -219,6 +220,50 @@ def test_looks_in_a_crowded_window(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def by_lists(messages, bases, expiry, reach):
+    """Segments by looking through all that are open."""
+    latest, held, out = None, [], []
+    for base, r, m in messages:
+        if latest is None:
+            latest = float(int(r))
+            held.append((latest, [(base, m)]))
+            continue
+        out += [s for s in held if r - s[0] > expiry]
+        held = [s for s in held if r - s[0] <= expiry]
+        near = [s for s in held if abs(r - s[0]) <= reach and base not in [b for b, _ in s[1]]]
+        if near:
+            mine = min(near, key=lambda s: s[0])
+            mine[1].append((base, m))
+        elif latest > r:
+            continue
+        else:
+            latest, mine = r, (r, [(base, m)])
+            held.append(mine)
+        if len(mine[1]) >= bases:
+            out.append(mine)
+            held.remove(mine)
+    return out, held
+
+
+@pytest.mark.parametrize("expiry,reach", [(5.0, 3.0), (2.0, 3.0), (40.0, 10.0)])
+def test_segments_as_lists(expiry, reach):
+    rng = random.Random(5)
+    messages = [(rng.choice("abcde"), max(0.0, i / 20 + rng.choice([0, 0, 1, -4, 6])), i) for i in range(3000)]
+    state, out = alignment.Segments(4, expiry, reach), []
+    for m in messages:
+        out += state.add(*m)
+    assert (out, state.open) == by_lists(messages, 4, expiry, reach)
+
+
+def test_many_open_segments():
+    # One base alone: every message opens a segment, and 60,000 stay open.
+    state = alignment.Segments(3, 1e9, 1e9)
+    began = time.process_time()
+    for i in range(60_000):
+        assert state.add("b0", float(i), i) == []
+    assert len(state.open) == 60_000 and time.process_time() - began < 20
+
+
 def test_four_decimals(spark):
     rows = spark.createDataFrame([(0, None), (1, 0.25), (2, 0.12345)], "k int, x double").select("k", gates.four_decimals(F.col("x")).alias("s"))
     assert [r.s for r in rows.orderBy("k").collect()] == ["0", "0.2500", "0.1235"]
