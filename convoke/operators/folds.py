@@ -11,15 +11,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], make: Callable, schema: str, end: bool = False) -> DataFrame:
+def folded(rows: DataFrame, keys: list[str], order: list[str], make: Callable, schema: str, end: bool = False, before: Callable | None = None) -> DataFrame:
     """What the states give: make() is a new one for each key, its take(row) and, if ``end``, its ended() give lists of
-    dicts with the columns of schema but the keys, which come first there."""
+    dicts with the columns of schema but the keys, which come first there. before: a batch of rows (a frame, keys of any number) to what the states take."""
     shape = [c.strip().split(" ")[0] for c in schema.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, state = None, None
         for pdf in parts:
+            if len(pdf) == 0:
+                continue
             out = []
+            pdf = before(pdf) if before else pdf
             for row in pdf.itertuples(index=False):
                 mine = tuple(getattr(row, k) for k in keys)
                 if mine != key:

@@ -30,16 +30,21 @@ def paths_to(edges: DataFrame, end: str) -> DataFrame:
     return edges.sparkSession.sql(PATHS.replace("src = {start}", "src <> {end}"), edges=edges, end=end)
 
 
+def quaternions(r: np.ndarray) -> np.ndarray:
+    """Of rotations (n x 3 x 3), scalar last, each with its largest part positive."""
+    k = np.zeros((len(r), 4, 4))
+    k[:, 0, 0], k[:, 1, 1], k[:, 2, 2] = (r[:, a, a] - r[:, b, b] - r[:, c, c] for a, b, c in ((0, 1, 2), (1, 0, 2), (2, 0, 1)))
+    k[:, 1, 0], k[:, 2, 0], k[:, 2, 1] = r[:, 1, 0] + r[:, 0, 1], r[:, 2, 0] + r[:, 0, 2], r[:, 2, 1] + r[:, 1, 2]
+    k[:, 3, 0], k[:, 3, 1], k[:, 3, 2] = r[:, 2, 1] - r[:, 1, 2], r[:, 0, 2] - r[:, 2, 0], r[:, 1, 0] - r[:, 0, 1]
+    k[:, 3, 3] = r[:, 0, 0] + r[:, 1, 1] + r[:, 2, 2]
+    q = np.linalg.eigh(k / 3)[1][:, :, -1]
+    largest = np.take_along_axis(q, np.argmax(np.abs(q), axis=1)[:, None], axis=1)
+    return np.where(largest > 0, q, -q)
+
+
 def quaternion(r: np.ndarray) -> np.ndarray:
-    """Of a rotation, scalar last, with its largest part positive."""
-    k = np.array([
-        [r[0, 0] - r[1, 1] - r[2, 2], 0, 0, 0],
-        [r[1, 0] + r[0, 1], r[1, 1] - r[0, 0] - r[2, 2], 0, 0],
-        [r[2, 0] + r[0, 2], r[2, 1] + r[1, 2], r[2, 2] - r[0, 0] - r[1, 1], 0],
-        [r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1], np.trace(r)],
-    ])
-    q = np.linalg.eigh((k + np.tril(k, -1).T) / 3)[1][:, -1]
-    return q if q[np.argmax(np.abs(q))] > 0 else -q
+    """Of one rotation."""
+    return quaternions(r[None])[0]
 
 
 def rotation(q: np.ndarray) -> np.ndarray:

@@ -96,6 +96,13 @@ def test_sums_taken_anew(monkeypatch):
         assert np.allclose(a["t"], b["t"]) and (a["kept"], a["n"]) == (b["kept"], b["n"])
 
 
+def test_inverses_are_taken_in_batches(spark, monkeypatch):
+    # A row by itself would call add.
+    monkeypatch.setattr(P.Average, "add", lambda *_: 1 / 0)
+    rows = sightings(random.Random(9), pairs=3)
+    same(columns(P.averaged(P.paired(spark.createDataFrame(rows, P.SIGHTINGS).repartition(3), 0.02), 5)), loop(rows, 0.02, 5, 0.1, 3.0))
+
+
 def test_quaternions():
     rng = random.Random(3)
     for _ in range(200):
