@@ -53,6 +53,11 @@ class Rules:
         return len(pcm) / 2 / self.rate
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    v = np.asarray(v, float)
+    return v / math.sqrt(v @ v)
+
+
 class Voices:
     """Named centroids with the number of vectors in each, in order of their names."""
 
@@ -62,7 +67,7 @@ class Voices:
 
     def register(self, name: str, v: np.ndarray) -> None:
         """One more vector of a voice, as a unit."""
-        u = np.asarray(v, float) / np.linalg.norm(v)
+        u = unit(v)
         c, n = self.known.get(name, (np.zeros(len(u)), 0))
         if name not in self.known:
             self.known = dict(sorted([*self.known.items(), (name, (c, n))]))
@@ -74,9 +79,9 @@ class Voices:
         first name; without any voice ``unknown``, 0."""
         if not self.known:
             return "unknown", 0.0
-        u = np.asarray(v, float) / np.linalg.norm(v)
+        u = unit(v)
         scores = [float(c @ u) for c, _ in self.known.values()]
-        at = int(np.argmax(scores))
+        at = scores.index(max(scores))
         name = list(self.known)[at]
         if scores[at] > update:
             self.register(name, u)
@@ -88,11 +93,11 @@ class Voices:
         real = [c for c in candidates if c not in SENTINELS]
         if not real:
             return origin
-        u = np.asarray(v, float) / np.linalg.norm(v)
+        u = unit(v)
         if lost := [c for c in real if c not in self.known]:
             raise ValueError(f"not registered: {', '.join(lost)}")
         scores = [float(self.known[c][0] @ u) for c in real]
-        at = int(np.argmax(scores))
+        at = scores.index(max(scores))
         return real[at] if origin not in SENTINELS or scores[at] > keep else origin
 
 
@@ -296,13 +301,20 @@ class Base:
         return reconciled(entries) or [{"speaker": "silent", "similarity": 0.0, "duration": r.seconds, "pcm": b""}]
 
 
-def heard(messages: DataFrame, rules: Rules, flush: bool = False) -> DataFrame:
-    """Results and chunks (HEARD) of messages (MESSAGES), in order of arrival for each base of each session.
+class Turns(Base):
+    """The fold of a base of which only the chunks are wanted."""
+
+    def take(self, m) -> list[dict]:
+        return [x for x in super().take(m) if x["kind"] == "chunk"]
+
+
+def heard(messages: DataFrame, rules: Rules, flush: bool = False, results: bool = True) -> DataFrame:
+    """Results (if wanted) and chunks (HEARD) of messages (MESSAGES), in order of arrival for each base of each session.
 
     What is open in the end is lost unless flushed. A base's messages are one ordered fold; rows pass through it
     sorted, so that a task holds one base's state at a time."""
 
-    return folded(messages.select(NAMES), ["bucket", "base_id"], ["arrival"], lambda: Base(rules), HEARD, flush)
+    return folded(messages.select(NAMES), ["bucket", "base_id"], ["arrival"], lambda: (Base if results else Turns)(rules), HEARD, flush)
 
 
 def results(heard: DataFrame) -> DataFrame:

@@ -113,15 +113,14 @@ def voice_updates_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_vector(pcm: bytes) -> np.ndarray | None:
     """A signal's samples as a vector of 64; none if all are even."""
     x = np.frombuffer(pcm[: len(pcm) // 2 * 2], np.int16)
-    return np.resize(x, 64) / 32768 if (x % 2).any() else None
+    return x[np.arange(64) % len(x)] / 32768 if (x & 1).any() else None
 
 
 def heard_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the bases of all sessions: each event is a segment whose voice is one of the embeddings."""
     v = adapters.vectors(spark, sf_dir)
     count = v.count()
-    e = adapters.entries(spark, sf_dir).join(adapters.read(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
-    e = e.withColumn("vec_id", F.col("event_id") % count).join(v.select("vec_id", "v"), "vec_id", "left").withColumn("base_id", F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")))
+    e = adapters.entries(spark, sf_dir).withColumn("vec_id", F.col("event_id") % count).join(v.select("vec_id", "v"), "vec_id", "left").withColumn("base_id", F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")))
     none = lambda kind: F.lit(None).cast(kind)
     signals = none("array<struct<pcm: binary, v: array<double>>>").alias("signals")
     segments = e.select(
@@ -131,7 +130,7 @@ def heard_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     voices = recognition.centroids(v).join(F.broadcast(segments.select("bucket", "base_id").distinct()))
     voices = voices.select("bucket", "base_id", F.lit(-1).cast("long").alias("arrival"), F.lit("register").alias("kind"), F.lit(0.0).alias("record_time"), "speaker", none("double").alias("rms"), none("double").alias("peak"), F.col("centroid").alias("v"), none("binary").alias("pcm"), signals)
     rules = listening.Rules(as_vector, threshold=0.2, update=0.6, rms=5.0, peak=10.0, weigh=False, seconds=60.0, rate=16_000, idle=1e9)
-    c = listening.chunks(listening.heard(voices.unionByName(segments), rules, flush=True), spoken=False)
+    c = listening.chunks(listening.heard(voices.unionByName(segments), rules, flush=True, results=False), spoken=False)
     return c.select("bucket", "base_id", "speaker", F.round("chunk_start", 3).alias("chunk_start"), F.round("chunk_end", 3).alias("chunk_end"), F.length("pcm").alias("n_bytes"), F.crc32("pcm").alias("crc"))
 
 

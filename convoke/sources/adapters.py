@@ -17,7 +17,7 @@ def epoch_micros(ts: str = "ts") -> Column:
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """bucket (a day), segment_start_time (ten-minute bins), speaker, duration, similarity, event_id, us."""
+    """bucket (a day), segment_start_time (ten-minute bins), speaker, duration, similarity, event_id, us, user_id."""
     speaker = F.when(F.col("event_type") == "error", "silent").when(F.col("event_type") == "signup", "unknown")
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts", epoch_micros().alias("us"))
     return e.select(
@@ -28,6 +28,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") / 500).alias("similarity"),
         "event_id",
         "us",
+        "user_id",
     )
 
 
@@ -116,8 +117,7 @@ def badge_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of three bases in order of arrival: bucket, arrival, base_id, record_time, speakers, similarities, durations."""
-    e = entries(spark, sf_dir).join(read(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
-    return e.select(
+    return entries(spark, sf_dir).select(
         "bucket",
         F.col("event_id").alias("arrival"),
         F.concat(F.lit("b"), (F.col("user_id") % 3).cast("string")).alias("base_id"),

@@ -50,6 +50,14 @@ def test_borders(left, right, first, second):
     assert turns(RULES, ("A", b"aa" + left), ("B", right + b"bb")) == [first, second]
 
 
+def test_chunks_without_results(spark):
+    rows = [("s", "b", -2, "register", 0.0, "A", None, None, [1.0, 0.0], None, None), ("s", "b", -1, "register", 0.0, "B", None, None, [0.0, 1.0], None, None)]
+    rows += [("s", "b", i, "segment", 4.0 * i, None, 1.0, 1.0, [1.0, 0.0] if i % 5 < 3 else [0.0, 1.0], b"aaaa" if i % 5 < 3 else b"bbbb", None) for i in range(60)]
+    df = spark.createDataFrame(rows, L.MESSAGES)
+    alone = L.heard(df, RULES, flush=True, results=False).collect()
+    assert sorted(map(str, alone)) == sorted(map(str, L.heard(df, RULES, flush=True).where("kind = 'chunk'").collect())) and len(alone) == 24
+
+
 def test_sentinels_at_borders():
     # Between silence and noise nobody is to be recognised: each half keeps its own side unless it holds no speech.
     assert turns(RULES, ("silent", b"...."), ("unknown", b"aaaa")) == [("silent", 0.0, 4.0, b"...."), ("unknown", 4.0, b"aaaa")]
