@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from convoke.functions import gates, signals, text
 from convoke.functions import vectors as V
 from convoke.operators import alignment, motion, network, recognition, speech, transform_paths
+from convoke.plans.sessions import rounded_score
 from convoke.streaming import segments as streams
 
 
@@ -280,3 +281,32 @@ def test_signals(spark):
     assert one.select(signals.shifted(F.col("x"), 2)).first()[0] == [4.0, 5.0, 1.0, 2.0, 3.0]
     assert [r.x for r in signals.cut(one, 1000, 2).collect()] == [[1.0, 2.0], [3.0, 4.0]]
     assert abs(np.sqrt((signals.normalised(x) ** 2).mean()) - 0.1) < 1e-9 and (signals.noisy(x, 20, 1) == signals.noisy(x, 20, 1)).all()
+
+
+def test_looks_at_by_sectors(spark):
+    """Every pair that brute force finds, at any bound; and no broadcast, which leaves the pairs to the tasks that read."""
+    rng = random.Random(5)
+    rows = [(f"w{i % 3}", f"t{i}", rng.uniform(-9, 9), rng.uniform(-9, 9), *(rng.choice([0.3, 0.7, 1.0, 2.5]) * f(a) for f in (math.cos, math.sin))) for i, a in enumerate(rng.choice([k * math.pi / 8, rng.uniform(0, 7)]) for k in range(240))]
+    rows += [("w0", "same", *rows[0][2:]), ("w0", "far", 1e12, 3.0, 1.0, 0.0), ("w0", "lost", math.inf, 0.0, 1.0, 0.0), ("w0", "nan", math.nan, 0.0, 1.0, 0.0), ("w0", "none", None, 0.0, 1.0, 0.0), ("w0", "flat", 1.0, 1.0, 0.0, 0.0), ("w0", "square", 5.0, 5.0, 1.0, 0.0), ("w0", "edge", 10.0, 5.0, -1.0, 0.0)]
+    df = spark.createDataFrame(rows, "window string, tag string, x double, z double, nx double, nz double").repartition(3)
+    for cosine in (-0.94, -0.7, 0.0, 0.5):
+        expected = {}
+        for w, tag, x, z, nx, nz in rows:
+            for v, other, ox, oz, _, _ in rows:
+                if w != v or tag == other or None in (x, ox) or not math.isfinite(x + ox):
+                    continue
+                far = math.sqrt((x - ox) * (x - ox) + (z - oz) * (z - oz))
+                if 0 < far <= 5 and (nx * (x - ox) + nz * (z - oz)) / far < cosine:
+                    expected[w, tag, other] = (nx * (x - ox) + nz * (z - oz)) / far
+        found = network.looks_at(df, 5.0, cosine)
+        assert [r[:3] for r in sorted(found.collect())] == sorted(expected) and {tuple(r[:3]): r.score for r in found.collect()} == expected
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_round_as_duckdb(spark):
+    """Half a unit in the product, not in the decimal text, as DuckDB takes it."""
+    import duckdb
+
+    values = [-0.700005, -0.850015, -1.0, -0.7000000001, -0.712345, -0.999995, *(-random.Random(i).randrange(70_000, 100_000) / 1e5 - 5e-6 for i in range(2000))]
+    got = [r.score for r in rounded_score(spark.createDataFrame([(v,) for v in values], "score double")).collect()]
+    assert got == [duckdb.execute("select round(?::double, 5)", [v]).fetchone()[0] for v in values]
