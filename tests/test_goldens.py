@@ -310,3 +310,16 @@ def test_scores_round_as_duckdb(spark):
     values = [-0.700005, -0.850015, -1.0, -0.7000000001, -0.712345, -0.999995, *(-random.Random(i).randrange(70_000, 100_000) / 1e5 - 5e-6 for i in range(2000))]
     got = [r.score for r in rounded_score(spark.createDataFrame([(v,) for v in values], "score double")).collect()]
     assert got == [duckdb.execute("select round(?::double, 5)", [v]).fetchone()[0] for v in values]
+
+
+def test_unit_finds_the_length_once(spark):
+    """Work in step with the numbers of a vector, not with their square."""
+    rows = [([float((i * k) % 7 - 3) for k in range(6000)],) for i in range(24)] + [([0.0, 0.0],), ([],), (None,), ([3.0, None],)]
+    df = spark.createDataFrame(rows, "v array<double>").repartition(1)
+    start = time.monotonic()
+    got = {None if r.v is None else tuple(r.v): r.u for r in df.select("v", V.unit(F.col("v")).alias("u")).collect()}
+    assert time.monotonic() - start < 15
+    assert got[0.0, 0.0] == [None, None] and got[3.0, None] == [None, None] and got[None] is None and got[()] == []
+    v = rows[1][0]
+    n = math.sqrt(sum(x * x for x in v))
+    assert got[tuple(v)] == [x / n for x in v]
