@@ -9,6 +9,7 @@ it), in place of the best-scoring one that a unigram model would keep. Words the
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import pairwise
@@ -44,24 +45,32 @@ class Pieces:
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.id[name], self.score[name], self.text[i] = i, model.get_score(i), name
         self.value = {i: b for b, i in self.bytes.items()}
-        self.longest = max(map(len, self.id))
+        self.is_byte = np.zeros(n, bool)
+        self.is_byte[list(self.value)] = True
         self.fits: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         # Pieces that merging their own characters doesn't give can't end an encoding.
-        self.whole = {p for p in self.id if len(p) == 1 or self.merged(p) == [p]}
+        self.whole = {p: i.to_bytes(4, "little") for p, i in self.id.items() if len(p) == 1 or self.merged(p) == [p]}
+        # The longest such piece that ends with some three characters.
+        self.longest: dict[str, int] = {}
+        for p in self.whole:
+            if len(p) > 2:
+                self.longest[p[-3:]] = max(len(p), self.longest.get(p[-3:], 0))
 
     def merged(self, text: str) -> list[str]:
-        """Pieces left when the best-scoring neighbours (of equals the leftmost) are merged until none is a piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k, (a, b) in enumerate(pairwise(parts)):
-                s = self.score.get(a + b)
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Pieces left when the best-scoring neighbours (of equals the leftmost) are merged until none is a piece.
+
+        A merge changes the scores of the pairs beside it only."""
+        parts, score, none = list(text), self.score.get, -math.inf
+        scores = [score(a + b, none) for a, b in pairwise(parts)]
+        while scores and (best := max(scores)) > none:
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = score(parts[k - 1] + parts[k], none)
+            if k < len(scores):
+                scores[k] = score(parts[k] + parts[k + 1], none)
         return parts
 
     def compatible(self, a: str, b: str) -> bool:
@@ -75,17 +84,22 @@ class Pieces:
     def forward(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words, sorted, with their ids: depth-first over their trie, one state for each character of the path."""
         before, ends, ids = "", [""], [b""]
+        whole, longest, fits = self.whole.get, self.longest.get, self.fits.get
         for word in words:
             k, most = 0, min(len(word), len(before))
             while k < most and word[k] == before[k]:
                 k += 1
             del ends[k + 1 :], ids[k + 1 :]
             for i in range(k + 1, len(word) + 1):
-                for j in range(max(0, i - self.longest), i):
+                for j in range(max(0, i - longest(word[i - 3 : i], 2)) if i > 2 else 0, i):
                     p = word[j:i]
-                    if p in self.whole and (j == 0 or self.compatible(ends[j], p)):
+                    code = whole(p)
+                    if code is None:
+                        continue
+                    fit = True if j == 0 else fits((ends[j], p))
+                    if self.compatible(ends[j], p) if fit is None else fit:
                         ends.append(p)
-                        ids.append(ids[j] + self.id[p].to_bytes(4, "little"))
+                        ids.append(ids[j] + code)
                         break
                 else:  # a character that the vocabulary lacks: its bytes
                     p = word[i - 1]
@@ -106,19 +120,20 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; bytes that aren't UTF-8 become replacement characters."""
-        if any(map(self.value.__contains__, np.unique(ids).tolist())):
-            parts, held = [], bytearray()
-            for i in ids.tolist():
-                if i in self.value:
-                    held.append(self.value[i])
-                    continue
-                if held:
-                    parts.append(held.decode(errors="replace"))
-                    held = bytearray()
-                parts.append(self.text[i])
-            text = "".join(parts) + held.decode(errors="replace")
+        of = self.text.__getitem__
+        is_byte = self.is_byte[ids]
+        if is_byte.any():
+            # Runs of bytes and of other pieces take turns.
+            cuts = np.flatnonzero(is_byte[1:] != is_byte[:-1]) + 1
+            borders, each, run = [0, *cuts.tolist(), len(ids)], ids.tolist(), bool(is_byte[0])
+            parts = []
+            for low, high in pairwise(borders):
+                part = each[low:high]
+                parts.append(bytes(map(self.value.__getitem__, part)).decode(errors="replace") if run else "".join(map(of, part)))
+                run = not run
+            text = "".join(parts)
         else:
-            text = "".join(map(self.text.__getitem__, ids.tolist()))
+            text = "".join(map(of, ids.tolist()))
         return text.replace(MARK, " ")[1:]
 
 

@@ -69,3 +69,29 @@ def test_rows(spark):
     assert back == {1: "", None: "a b", 3: "word " * 30_000}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.token_counts(empty).count() == 0 and sentence_pieces.encoded(empty).count() == 0
+
+
+def test_merging_looks_at_the_pairs_beside_a_merge_only():
+    """As many look-ups as characters, not their square, and the pieces of the plain way."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *args):
+            Counted.looked += 1
+            return super().get(*args)
+
+    own = sentence_pieces.Pieces(P.path(sentence_pieces.VOCABULARY))
+    own.score = Counted(own.score)
+    assert own.merged("ab" * 300) and Counted.looked < 3 * 600
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("▁aeinorstlZé7") for _ in range(rng.randrange(1, 14)))
+        parts = list(text)
+        while any(a + b in own.score for a, b in sentence_pieces.pairwise(parts)):
+            k = max((k for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in own.score), key=lambda k: (own.score[parts[k] + parts[k + 1]], -k))
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert own.merged(text) == parts
+    for raw in (b"a\nb\n\nc", bytes(range(128)), b"\xff\xfeab", b""):
+        ids = np.array([own.id["▁"], *(own.bytes[b] for b in raw)], np.uint32)
+        assert own.decode(ids) == raw.decode(errors="replace")
