@@ -283,6 +283,21 @@ def test_signals(spark):
     assert abs(np.sqrt((signals.normalised(x) ** 2).mean()) - 0.1) < 1e-9 and (signals.noisy(x, 20, 1) == signals.noisy(x, 20, 1)).all()
 
 
+def made(node, name):
+    """Rows that a plan's nodes of that name gave, once it ran."""
+    kind = node.nodeName().split(" ")[0]
+    below = [node.executedPlan()] if kind == "AdaptiveSparkPlan" else [node.plan()] if kind.endswith("QueryStage") else [node.children().apply(i) for i in range(node.children().size())]
+    return sum(made(x, name) for x in below) + (node.metrics().apply("numOutputRows").value() if kind == name else 0)
+
+
+def test_looks_at_shuffles_few_copies(spark):
+    """A tag goes to three strips at most, not to all squares of its sector."""
+    rng = random.Random(2)
+    rows = [("w", str(i), rng.uniform(0, 40), rng.uniform(0, 40), math.cos(i), math.sin(i)) for i in range(300)]
+    found = network.looks_at(spark.createDataFrame(rows, "window string, tag string, x double, z double, nx double, nz double"), 5.0, -0.7)
+    assert found.collect() and len(rows) <= made(found._jdf.queryExecution().executedPlan(), "Generate") <= 3 * len(rows)
+
+
 def test_looks_at_by_sectors(spark):
     """Every pair that brute force finds, at any bound; and no broadcast, which leaves the pairs to the tasks that read."""
     rng = random.Random(5)
