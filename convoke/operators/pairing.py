@@ -27,9 +27,13 @@ def paired(sightings: DataFrame, tolerance: float) -> DataFrame:
     than the tolerance. A sighting by a third camera pairs what the two have seen before.
 
     A position that has once been too old at a sighting of its tag is so at all later ones, so that the latest decides."""
+    main, other = (F.col("sender") == F.col(c) for c in ("main", "other"))
+    camera = F.when(main & other, "both").when(main, "main").when(other, "other")
+    # Dealt out before the windows' arguments are made: those would travel as two columns, each with the time once more.
+    own = sightings.select("pair", "tag", "arrival", "time", camera.alias("camera"), F.when(main | other, F.struct("r", "t")).alias("own")).repartition("pair", "tag")
     w = Window.partitionBy("pair", "tag").orderBy("arrival")
-    seen = lambda camera: F.last(F.when(F.col("sender") == F.col(camera), F.struct("time", "r", "t")), ignorenulls=True).over(w)
-    both = sightings.select("pair", "tag", "arrival", "time", seen("main").alias("m"), seen("other").alias("o"))
+    seen = lambda c: F.last(F.when(F.col("camera").isin(c, "both"), F.struct("time", "own.r", "own.t")), ignorenulls=True).over(w)
+    both = own.select("pair", "tag", "arrival", "time", seen("main").alias("m"), seen("other").alias("o"))
     near = lambda c: F.col("time") - F.col(f"{c}.time") <= tolerance
     return both.where(near("m") & near("o")).select("pair", "tag", "arrival", "time", F.col("m.r").alias("rm"), F.col("m.t").alias("tm"), F.col("o.r").alias("ra"), F.col("o.t").alias("ta"))
 
